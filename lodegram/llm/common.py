@@ -216,3 +216,23 @@ def doc_groups(texts: list[str], limit: int = 1 << 21):
         size += len(t)
     if at < len(texts):
         yield at, len(texts)
+
+
+def repeat_rows(docs: DataFrame, side_path: str, count: str, default: int) -> DataFrame:
+    """docs with each row as many times as the side table's column says, default where it has no row.
+
+    Rows stay in their scan: no shuffle.
+    """
+    cols = docs.columns
+    keyed = with_row_key(docs, cols)
+
+    def run(batches):
+        side = Side(side_path)
+        for batch in batches:
+            times = np.full(batch.num_rows, default)
+            for p, table, a, _ in side.rows(batch.column(FILE).to_numpy(), batch.column(ROW).to_numpy()):
+                times[p] = table.column(count)[a].as_py()
+            out = batch.select(cols)
+            yield out if (times == 1).all() else out.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+
+    return keyed.mapInArrow(run, docs.schema)
