@@ -19,7 +19,7 @@ from lodegram.llm.common import doc_groups, mix, new_path, saved
 ORDER, BITS = 5, 12
 #: Width of the bands in median absolute deviations of log perplexity, and characters of a text
 #: at which chance widens them by a factor of sqrt(2).
-ABOVE, BELOW, SHORT = 6.0, 6.0, 200.0
+ABOVE, BELOW, SHORT = 5.0, 5.0, 400.0
 
 _ID = np.arange(0x110000, dtype=np.uint32)
 _ID = np.where(_ID < 3072, _ID, 3072 + _ID % 1024).astype(np.uint16)
