@@ -6,22 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegram.llm import bpe, line_dedup, minhash_dedup, mixing, toxicity
+from lodegram.llm import bpe, licenses, line_dedup, minhash_dedup, mixing, neighbours, page_diff, perplexity, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.perplexity(spark, _table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(spark, _table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mixture(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return drawn.select("doc_id", "source", "n_tokens", "copies")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
+def op7_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract_pages(spark, _table(spark, sf_dir, "pages"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
@@ -36,13 +56,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_perplexity": op1_perplexity,
+    "op2_url_filter": op2_url_filter,
     "op3_toxicity": op3_toxicity,
+    "op4_licenses": op4_licenses,
     "op5_mixing": op5_mixing,
+    "op6_neighbours": op6_neighbours,
+    "op7_page_diff": op7_page_diff,
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE,
     "op5_mixing": mixing.ORACLE,
 }
