@@ -33,12 +33,15 @@ def grams(c: Column | str, size: int | Column | str = GRAM, case_insensitive: bo
     if fixed and size < 1:
         raise ValueError("gram size must be at least 1")
     n = F.lit(size) if fixed else _col(size)
-    points = F.split(text, "")
-    starts = F.sequence(F.lit(0), F.char_length(text) - n)
-    if fixed and size <= 8:
-        windows = F.transform(starts, lambda i: F.concat(*[F.get(points, i + k) for k in range(size)]))
-    else:
-        windows = F.transform(starts, lambda i: F.array_join(F.slice(points, (i + 1).cast("int"), n.cast("int")), ""))
+
+    def windows_of(p: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(p) - n)
+        if fixed and size <= 8:
+            return F.transform(starts, lambda i: F.concat(*[F.get(p, i + k) for k in range(size)]))
+        return F.transform(starts, lambda i: F.array_join(F.slice(p, (i + 1).cast("int"), n.cast("int")), ""))
+
+    # the outer lambda binds the code points, which would else be split again for every window
+    windows = F.get(F.transform(F.array(F.split(text, "")), windows_of), 0)
     found = F.when(F.char_length(text) < n, F.array().cast("array<string>")).when(F.char_length(text) >= n, windows)
     if fixed:
         return found
