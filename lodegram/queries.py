@@ -217,9 +217,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_short": _search("er"),
     "search_empty": _search(""),
     "search_absent": _search("zzzz"),
-    "search_unicode": _search("ité"),
+    "search_unicode": _search("ÉTION"),
     "search_pages": _search("license", "pages", "html", "page_id"),
-    "search_conversations": _search("data", "conversations", "text", "conv_id"),
+    "search_conversations": _search("the", "conversations", "text", "conv_id"),
     "search_part": _search("ing", "part", "p_name", "p_partkey"),
     "search_events": _search("page", "events", "props", "event_id"),
     "candidates_all_grams": candidates_all_grams,
@@ -257,9 +257,9 @@ ORACLES: dict[str, str] = {
     "search_short": _CI.format("er"),
     "search_empty": "SELECT doc_id FROM documents WHERE text IS NOT NULL",
     "search_absent": _CI.format("zzzz"),
-    "search_unicode": _CI.format("ité"),
+    "search_unicode": _CI.format("étion"),
     "search_pages": "SELECT page_id FROM pages WHERE contains(lower(html), 'license')",
-    "search_conversations": "SELECT conv_id FROM conversations WHERE contains(lower(text), 'data')",
+    "search_conversations": "SELECT conv_id FROM conversations WHERE contains(lower(text), 'the')",
     "search_part": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ing')",
     "search_events": "SELECT event_id FROM events WHERE contains(lower(props), 'page')",
     "candidates_all_grams": f"SELECT doc_id FROM {_EACH} WHERE gram IN ('lic', 'ice', 'cen', 'ens', 'nse') GROUP BY doc_id HAVING count(*) = 5",
