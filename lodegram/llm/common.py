@@ -46,11 +46,25 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df itself if its rows are those of files, else a copy in the shared folder: its rows then have the same
+    keys however often they are read."""
+
+    def plain(node) -> bool:
+        kids = node.children()
+        name = node.getClass().getSimpleName()
+        if name == "LogicalRelation":
+            return True
+        return name in ("Project", "Filter", "SubqueryAlias", "View") and all(plain(kids.apply(i)) for i in range(kids.size()))
+
+    return df if plain(df._jdf.queryExecution().analyzed()) else saved(df, "rows")
+
+
 def with_row_key(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """The given columns and a key for each row that stays the same in every scan: (FILE, ROW).
 
     It is the hash of the file's path and the row's number in it. A DataFrame that isn't read
-    from files is written to the shared folder first.
+    from files is written to the shared folder first; to key it more than once, take stored() of it.
     """
     cols = list(cols)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, Words, components, doc_groups, mix, repeat_rows, saved, with_row_key, write_side
+from lodegram.llm.common import FILE, ROW, Words, components, doc_groups, mix, repeat_rows, saved, stored, with_row_key, write_side
 
 SHINGLE = 3
 PERMUTATIONS = 64  # 128 values, 2 of each
@@ -167,6 +167,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A document with fewer words has one shingle of all; one without a word (null or empty text) is
     in no group and stays. Other columns aren't read.
     """
+    docs = stored(docs.select("doc_id", "text"))
     groups = near_groups(spark, docs)
     rest = with_row_key(docs, ["doc_id"])
     known = groups.select(FILE, ROW, "keep_doc_id", "keep")
@@ -175,5 +176,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the rows that near_duplicates() doesn't keep; columns and texts as they were."""
+    docs = stored(docs)
     gone = near_groups(spark, docs).where("not keep").select(FILE, ROW, F.lit(0).alias("n"))
     return repeat_rows(docs, write_side(gone, "near"), "n", 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, repeat_rows, saved, with_row_key, write_side
+from lodegram.llm.common import FILE, ROW, repeat_rows, saved, stored, with_row_key, write_side
 
 SEED = "mix-1"
 #: A source's target weight is its share of tokens to this power, unless weights are given.
@@ -66,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, labels: DataFrame, weights: di
 
 def mix_sources(spark: SparkSession, docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
     """docs with each row as many times as mixture() draws it; columns and texts as they were."""
+    docs = stored(docs)
     drawn = mixture(spark, docs, labels, weights, budget).select(FILE, ROW, "copies")
     return repeat_rows(docs, write_side(drawn, "mix"), "copies", 0)
 

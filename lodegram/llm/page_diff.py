@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, Side, saved, with_row_key, write_side
+from lodegram.llm.common import FILE, ROW, Side, saved, stored, with_row_key, write_side
 from lodegram.llm.url_filter import parsed
 
 #: Elements whose content isn't text, and those that don't break a line.
@@ -239,6 +239,7 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     gives a null text, an empty one an empty text. Pages are read whole; columns other than page_id, url and html aren't
     read; repeated rows give equal rows; an empty table gives none.
     """
+    pages = stored(pages.select("page_id", "url", "html"))
     side = write_side(removed_lines(spark, pages), "page-gone")
     keyed = with_row_key(pages, ["page_id", "url", "html"])
     return keyed.mapInArrow(_rendered(side), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_removed int")

@@ -236,6 +236,6 @@ def perplexity(spark: SparkSession, docs: DataFrame) -> DataFrame:
     middle = scores.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("h", 0.5, 100_000).alias("m"))
     off = scores.join(middle, F.col("lang").eqNullSafe(F.col("l"))).select("l", "m", F.abs(F.col("h") - F.col("m")).alias("off"))
     bands = off.groupBy("l").agg(F.max("m").alias("m"), F.percentile_approx("off", 0.5, 100_000).alias("mad"))
-    reach = F.col("mad") * F.sqrt(1 + F.lit(SHORT) / F.col("n"))
+    reach = F.col("mad") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n", F.lit(1)))
     verdict = F.when(F.col("h") > F.col("m") + ABOVE * reach, "high").when(F.col("h") < F.col("m") - BELOW * reach, "low").otherwise("keep")
     return scores.join(bands, F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "lang", F.col("n").alias("n_chars"), F.round(F.exp("h"), 4).alias("perplexity"), verdict.alias("verdict"))
