@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, Side, saved, with_row_key, write_side
+from lodegram.llm.common import FILE, ROW, Side, mapped, saved, with_row_key, write_side
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -157,14 +157,14 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -
     null exact; an empty one an empty list; repeated rows have the same tokens. Other columns aren't read.
     """
     keyed = with_row_key(docs, ["doc_id", "text"])
-    found = keyed.where("text is not null").select("text", FILE, ROW).mapInArrow(_chunked, f"{FILE} long, {ROW} long, begin long, end long, h1 long, h2 long")
+    found = keyed.where("text is not null").select("text", FILE, ROW).transform(mapped, _chunked, f"{FILE} long, {ROW} long, begin long, end long, h1 long, h2 long")
     found = saved(found, "chunks")
     shared = saved(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(FILE, ROW, "begin", "end")).alias("own")).where("n > 1"), "shared")
     owners = shared.select("own.*", "h1", "h2")
-    once = saved(keyed.select("text", FILE, ROW).mapInArrow(_dictionary(write_side(owners, "owners"), vocabulary), "h1 long, h2 long, lo long, hi long, tokens binary"), "dictionary")
+    once = saved(keyed.select("text", FILE, ROW).transform(mapped, _dictionary(write_side(owners, "owners"), vocabulary), "h1 long, h2 long, lo long, hi long, tokens binary"), "dictionary")
     uses = found.join(once.where("hi > lo"), ["h1", "h2"]).select(FILE, ROW, (F.col("begin") + F.col("lo")).alias("begin"), (F.col("begin") + F.col("hi")).alias("end"), "tokens")
     kind = dict(docs.dtypes)["doc_id"]
-    return keyed.mapInArrow(_assembled(write_side(uses, "uses"), vocabulary), f"doc_id {kind}, tokens array<int>, n_tokens int, exact boolean")
+    return keyed.transform(mapped, _assembled(write_side(uses, "uses"), vocabulary), f"doc_id {kind}, tokens array<int>, n_tokens int, exact boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -177,4 +177,4 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [None if x is None else enc._core_bpe.decode_bytes(x).decode("utf-8", "replace") for x in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "tokens").mapInArrow(run, f"doc_id {dict(tokens.dtypes)['doc_id']}, text string")
+    return tokens.select("doc_id", "tokens").transform(mapped, run, f"doc_id {dict(tokens.dtypes)['doc_id']}, text string")

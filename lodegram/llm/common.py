@@ -5,6 +5,8 @@ Column names that start with ``__lg_`` are reserved for intermediate columns.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -156,8 +158,29 @@ def components(edges: DataFrame, a: str, b: str, tag: str) -> DataFrame:
     return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(roots)
 
 
-def joined_bytes(texts: list[str]) -> np.ndarray:
-    return np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+#: Bytes of a batch that goes to Python, so that two tasks' batches, and what is made of them, stay small
+#: next to an executor's memory. It is set in the session.
+BATCH_BYTES = 8 << 20
+
+
+def release() -> None:
+    """Give memory that a task doesn't need any more back to the system: workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow() in batches of BATCH_BYTES; each task gives its memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -220,7 +243,7 @@ class Words:
         self.first = np.concatenate(([0], np.searchsorted(self.start, breaks), [len(self.start)]))
 
 
-def doc_groups(texts: list[str], limit: int = 1 << 21):
+def doc_groups(texts: list[str], limit: int = 1 << 20):
     """Slices of the texts of about limit characters, at least one text each."""
     at = size = 0
     for i, t in enumerate(texts):
@@ -249,4 +272,4 @@ def repeat_rows(docs: DataFrame, side_path: str, count: str, default: int) -> Da
             out = batch.select(cols)
             yield out if (times == 1).all() else out.take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
 
-    return keyed.mapInArrow(run, docs.schema)
+    return mapped(keyed, run, docs.schema)

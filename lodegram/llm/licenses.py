@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodegram.llm.common import mapped
+
 UNKNOWN = "unknown"
 TEMPLATES: dict[str, list[str]] = {
     "apache": [
@@ -225,4 +227,4 @@ def scan(spark: SparkSession, docs: DataFrame, model: Classifier | None = None)
     whole; repeated rows give their rows each. Other columns than doc_id and text aren't read.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_scanner(model or Classifier()), f"doc_id {kind}, paragraph int, family string, probability double, template string")
+    return docs.select("doc_id", "text").transform(mapped, _scanner(model or Classifier()), f"doc_id {kind}, paragraph int, family string, probability double, template string")

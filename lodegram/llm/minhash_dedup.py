@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, Words, components, doc_groups, mix, repeat_rows, saved, stored, with_row_key, write_side
+from lodegram.llm.common import FILE, ROW, Words, components, doc_groups, mapped, mix, repeat_rows, saved, stored, with_row_key, write_side
 
 SHINGLE = 3
 PERMUTATIONS = 64  # 128 values, 2 of each
@@ -136,7 +136,7 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """For each row with a word: FILE, ROW, doc_id, keep_doc_id, keep. See near_duplicates()."""
     kind = dict(docs.dtypes)["doc_id"]
     keyed = with_row_key(docs, ["doc_id", "text"]).where("text is not null")
-    signed = keyed.mapInArrow(_signed, f"doc_id {kind}, {FILE} long, {ROW} long, sig binary")
+    signed = keyed.transform(mapped, _signed, f"doc_id {kind}, {FILE} long, {ROW} long, sig binary")
     signed = saved(signed.select("*", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2")), "sigs")
     owner = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", FILE, ROW)
     kinds = saved(signed.groupBy("h1", "h2").agg(F.min(owner).alias("own"), F.max("sig").alias("sig")), "kinds")
@@ -144,8 +144,8 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     width = 2 * ROWS
     bands = sig_of.select(F.explode(F.array([F.xxhash64(F.lit(i), F.substring("sig", width * i + 1, width)) for i in range(BANDS)])).alias("k"), FILE, ROW)
-    shared = bands.repartition("k").mapInArrow(_shared, f"k long, {FILE} long, {ROW} long")
-    edges = shared.join(sig_of, [FILE, ROW]).repartition("k").mapInArrow(_edges, "f1 long, r1 long, f2 long, r2 long").distinct()
+    shared = bands.repartition("k").transform(mapped, _shared, f"k long, {FILE} long, {ROW} long")
+    edges = shared.join(sig_of, [FILE, ROW]).repartition("k").transform(mapped, _edges, "f1 long, r1 long, f2 long, r2 long").distinct()
     node = lambda a, b: F.struct(F.col(a).alias("f"), F.col(b).alias("r"))
     groups = components(edges.select(node("f1", "r1").alias("a"), node("f2", "r2").alias("b")), "a", "b", "docs-cc")
 

@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, new_path, saved, with_row_key
+from lodegram.llm.common import FILE, ROW, mapped, new_path, saved, with_row_key
 
 K, TREES, LEAF, SEED = 10, 8, 256, 17
 #: Vectors of a tree that are reranked in one task, about: leaves are grouped to so many.
@@ -126,7 +126,7 @@ def plant(vectors: DataFrame, size: int, depth: int) -> str:
     the tasks summarise by POINTS weighted points."""
     path = new_path(vectors.sparkSession, "forest")
     for level in range(depth):
-        points = vectors.select("e").mapInArrow(_medians(path, level, size), "tree int, node long, p double, w long")
+        points = vectors.select("e").transform(mapped, _medians(path, level, size), "tree int, node long, p double, w long")
         cut = points.groupBy("tree", "node").agg(F.expr("percentile(p, 0.5, w)").cast("float").alias("cut"))
         cut.coalesce(1).write.parquet(f"{path}/l{level}")
     return path
@@ -181,7 +181,7 @@ def calibrated(vectors: DataFrame, path: str, size: int, depth: int, k: int) ->
     sample = vectors.orderBy(F.xxhash64(FILE, ROW), FILE, ROW).limit(CALIBRATION).collect()
     q = np.frombuffer(b"".join(r.e for r in sample), np.float32).reshape(len(sample), size)
     own = F.struct((-F.col("sim")).alias("s"), FILE, ROW, "e")
-    near = vectors.mapInArrow(_truth(q, k), f"q int, sim double, {_VECTOR}").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(own)), 1, k + 1).alias("near")).collect()
+    near = vectors.transform(mapped, _truth(q, k), f"q int, sim double, {_VECTOR}").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(own)), 1, k + 1).alias("near")).collect()
     forest = Forest(path, depth, size)
     ways, ranks = forest.projections(q), []
     for r in near:
@@ -288,13 +288,13 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = K) -> DataFrame:
     rows = with_row_key(table, ["vec_id", "embedding"]).where("embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size = sizes["n"] if sizes else 1
-    vectors = saved(rows.where(F.size("embedding") == size).select(FILE, ROW, "embedding").mapInArrow(_unit_rows(size), _VECTOR), "vectors")
+    vectors = saved(rows.where(F.size("embedding") == size).select(FILE, ROW, "embedding").transform(mapped, _unit_rows(size), _VECTOR), "vectors")
     depth = max(0, math.ceil(math.log2(max(1, vectors.count()) / LEAF)))
     group_bits = int(math.log2(GROUP // LEAF))
     path = plant(vectors, size, depth)
     visits = calibrated(vectors, path, size, depth, k) if depth else TREES
-    asked = vectors.mapInArrow(_asked(path, depth, size, group_bits, visits), f"cell long, leaves array<long>, {_VECTOR}")
-    members = vectors.mapInArrow(_members(path, depth, size, group_bits), f"cell long, leaf long, {_VECTOR}")
+    asked = vectors.transform(mapped, _asked(path, depth, size, group_bits, visits), f"cell long, leaves array<long>, {_VECTOR}")
+    members = vectors.transform(mapped, _members(path, depth, size, group_bits), f"cell long, leaf long, {_VECTOR}")
     found = saved(asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(_reranked(k), "f long, r long, nf long, nr long, sim double"), "near")
     own = F.struct((-F.col("sim")).alias("s"), "nf", "nr")
     top = found.groupBy("f", "r").agg(F.slice(F.array_sort(F.collect_set(own)), 1, k).alias("top"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import FILE, ROW, Side, saved, stored, with_row_key, write_side
+from lodegram.llm.common import FILE, ROW, Side, mapped, saved, stored, with_row_key, write_side
 from lodegram.llm.url_filter import parsed
 
 #: Elements whose content isn't text, and those that don't break a line.
@@ -209,19 +209,19 @@ def removed_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     host, rest = parsed(F.col("url"))
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^?]*", 0), "/+$", "")
     keyed = keyed.select(FILE, ROW, host.alias("host"), path.alias("path"), "html").where("host <> ''")
-    lines = saved(keyed.mapInArrow(_hashed, f"{FILE} long, {ROW} long, host string, path string, lines binary, h long"), "page-lines")
+    lines = saved(keyed.transform(mapped, _hashed, f"{FILE} long, {ROW} long, host string, path string, lines binary, h long"), "page-lines")
     contents = saved(lines.groupBy("host", "h").agg(F.min("path").alias("path"), F.max("lines").alias("lines")), "contents")
 
     # hosts may be of any size, so they are cut by ranges of paths; only the ends of ranges meet on the driver
     paths = contents.groupBy("host", "path").agg(F.min("h").alias("rep"))
-    near = saved(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").mapInArrow(_neighbours, _NEAR), "near-paths")
+    near = saved(paths.repartitionByRange("host", "path").sortWithinPartitions("host", "path").transform(mapped, _neighbours, _NEAR), "near-paths")
     span = near.groupBy("pid").agg(F.min(F.struct("host", "path", "rep")).alias("lo"), F.max(F.struct("host", "path", "rep")).alias("hi")).orderBy("pid").collect()
     ends = {r.pid: (tuple(span[i - 1].hi) if i else None, tuple(span[i + 1].lo) if i + 1 < len(span) else None) for i, r in enumerate(span)}
-    partners = near.mapInArrow(_nearest(ends), "host string, path string, partner long")
+    partners = near.transform(mapped, _nearest(ends), "host string, path string, partner long")
 
     other = contents.select("host", F.col("h").alias("partner"), F.col("lines").alias("other"))
     pairs = contents.join(partners, ["host", "path"]).join(other, ["host", "partner"])
-    gone = pairs.select("host", "h", "lines", "other").mapInArrow(_differenced, "host string, h long, gone binary")
+    gone = pairs.select("host", "h", "lines", "other").transform(mapped, _differenced, "host string, h long, gone binary")
     return lines.select(FILE, ROW, "host", "h").join(gone, ["host", "h"]).select(FILE, ROW, "gone")
 
 
@@ -242,4 +242,4 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     pages = stored(pages.select("page_id", "url", "html"))
     side = write_side(removed_lines(spark, pages), "page-gone")
     keyed = with_row_key(pages, ["page_id", "url", "html"])
-    return keyed.mapInArrow(_rendered(side), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_removed int")
+    return keyed.transform(mapped, _rendered(side), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_removed int")

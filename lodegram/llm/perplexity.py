@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import doc_groups, mix, new_path, saved
+from lodegram.llm.common import doc_groups, mapped, mix, new_path, saved
 
 ORDER, BITS = 5, 12
 #: Width of the bands in median absolute deviations of log perplexity, and characters of a text
@@ -94,7 +94,7 @@ def train(spark: SparkSession, docs: DataFrame) -> str:
     below it (the padding is a character too). Each order has three discounts by language.
     """
     texts = docs.where("text is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    top = saved(texts.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    top = saved(texts.transform(mapped, _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("code")
@@ -232,7 +232,7 @@ def perplexity(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     path = train(spark, docs)
     kinds = dict(docs.dtypes)
-    scores = saved(docs.select("doc_id", "lang", "text").mapInArrow(_scored(path), f"doc_id {kinds['doc_id']}, lang string, n long, h double"), "scores")
+    scores = saved(docs.select("doc_id", "lang", "text").transform(mapped, _scored(path), f"doc_id {kinds['doc_id']}, lang string, n long, h double"), "scores")
     middle = scores.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("h", 0.5, 100_000).alias("m"))
     off = scores.join(middle, F.col("lang").eqNullSafe(F.col("l"))).select("l", "m", F.abs(F.col("h") - F.col("m")).alias("off"))
     bands = off.groupBy("l").agg(F.max("m").alias("m"), F.percentile_approx("off", 0.5, 100_000).alias("mad"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegram.llm.common import saved
+from lodegram.llm.common import mapped, saved
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -172,12 +172,12 @@ def learn_lexicon(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> li
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = saved(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
-    toxic = texts.where("toxic = 1").select("text").mapInArrow(_features, "w string, stem boolean, c long").distinct()
+    toxic = texts.where("toxic = 1").select("text").transform(mapped, _features, "w string, stem boolean, c long").distinct()
     found = toxic.groupBy("w", "stem").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONTEXTS).collect()
     if not found:
         return []
     had = {(r.w, r.stem): r.n for r in found}
-    clean = texts.where("toxic = 0").select("text").mapInArrow(_counter(list(had)), "w string, stem boolean, n long").groupBy("w", "stem").agg(F.sum("n").alias("n")).collect()
+    clean = texts.where("toxic = 0").select("text").transform(mapped, _counter(list(had)), "w string, stem boolean, n long").groupBy("w", "stem").agg(F.sum("n").alias("n")).collect()
     against = {(r.w, r.stem): r.n for r in clean}
     good = {k for k, n in had.items() if against.get(k, 0) <= MAX_CLEAN * n}
     stems = {w for w, stem in good if stem}
@@ -209,9 +209,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     """
     learned = learn_lexicon(spark, docs, labels)
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_scored(learned, ["doc_id", "score", "toxic"], False), f"doc_id {kind}, score double, toxic boolean")
+    return docs.select("doc_id", "text").transform(mapped, _scored(learned, ["doc_id", "score", "toxic"], False), f"doc_id {kind}, score double, toxic boolean")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that toxicity() calls toxic; columns and texts as they were."""
-    return docs.mapInArrow(_scored(learn_lexicon(spark, docs, labels), docs.columns, True), docs.schema)
+    return docs.transform(mapped, _scored(learn_lexicon(spark, docs, labels), docs.columns, True), docs.schema)
