@@ -401,6 +401,30 @@ def test_line_dedup(spark, odd, none):
     assert texts.text.isna().sum() == 2 and sorted(len(x) > 0 for x in texts[texts.doc_id == 1].text) == [False, True]
 
 
+def test_line_dedup_near_copies(spark):
+    """Without a bound on SimHashes: of pairs with the edit similarity, one in ten at most may stay."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randrange(3, 10)))
+    rows = {}
+    for n in (2, 3, 4, 6, 9, 14, 20, 32, 60, 120):
+        made = 0
+        while made < 30:
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for _ in range(rng.randrange(1, 2 + n // 15)):
+                k = rng.randrange(n)
+                b[k] = word() if rng.random() < 0.5 else b[k][:-1] + rng.choice("wxyz")
+            x, y = " ".join(a), " ".join(b)
+            if x != y and edit(x, y) <= math.floor(max(len(x), len(y)) * 0.1 + 1e-9):
+                rows[len(rows)] = (n, x, y)
+                made += 1
+    docs = frame(spark, [(2 * i + k, t, "en", "a") for i, (_, *pair) in rows.items() for k, t in enumerate(pair)])
+    left = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, docs).collect()}
+    lost = Counter(n for i, (n, _, y) in rows.items() if left[2 * i + 1] == "")
+    assert all(left[2 * i] == x for i, (_, x, _) in rows.items())
+    assert all(lost[n] >= 27 for n in {n for n, *_ in rows.values()}), lost
+
+
 # pipeline
 
 
