@@ -208,6 +208,9 @@ def removed_lines(spark: SparkSession, pages: DataFrame) -> DataFrame:
     keyed = with_row_key(pages, ["url", "html"]).where("url is not null and html is not null")
     host, rest = parsed(F.col("url"))
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^?]*", 0), "/+$", "")
+    # the query after the least character, so that a path's queries come next to it and before longer paths
+    query = F.regexp_extract(rest, r"^[^?]*\?(.+)$", 1)
+    path = F.when(query == "", path).otherwise(F.concat(path, F.lit("\0"), query))
     keyed = keyed.select(FILE, ROW, host.alias("host"), path.alias("path"), "html").where("host <> ''")
     lines = saved(keyed.transform(mapped, _hashed, f"{FILE} long, {ROW} long, host string, path string, lines binary, h long"), "page-lines")
     contents = saved(lines.groupBy("host", "h").agg(F.min("path").alias("path"), F.max("lines").alias("lines")), "contents")
@@ -230,11 +233,11 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     A page's text is its lines: block elements break them, entities are decoded, white space runs become
     one space; comments, scripts, styles and titles are left out. Of a host's pages, in order of
-    their paths (lower-case host; without query, fragment and slashes at the end), each is paired with the one next
-    to it that has the longer start of the path in common, the earlier one in case of a tie, and loses
+    their paths and queries (lower-case host; without fragment and slashes at the end of the path), each is paired with the one next
+    to it that has the longer start of path and query in common, the earlier one in case of a tie, and loses
     the lines of a longest common subsequence with it. Pages of a host with the same lines are
-    one page, at the least of their paths, so copies don't erase each other; pages of the same path aren't
-    paired, and of several contents there the one with the least hash stands for the path. A page
+    one page, at the least of their paths, so copies don't erase each other; different contents of one path and
+    query are versions of a page, which aren't paired, and the one with the least hash stands for them. A page
     without such a partner keeps its lines: so do those with a null or hostless URL. A null html
     gives a null text, an empty one an empty text. Pages are read whole; columns other than page_id, url and html aren't
     read; repeated rows give equal rows; an empty table gives none.

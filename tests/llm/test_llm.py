@@ -291,6 +291,15 @@ def test_page_neighbours(spark):
             assert len(got[i].split("\n")) * bool(got[i]) == len(lines) - lcs(lines, other)
 
 
+def test_page_queries(spark):
+    """Pages that differ by query alone are each other's neighbours."""
+    page = lambda i: f"<p>Menu</p><p>text {i}</p><p>Foot {'ab'[i > 3]}</p>"
+    urls = [f"http://q.example.com/index.php?id={i}" for i in range(1, 6)]
+    pages = spark.createDataFrame([(i, u, page(i)) for i, u in enumerate(urls, 1)] + [(9, "http://q.example.com/index.php/far", "<p>text 1</p><p>else</p>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_removed) for r in page_diff.extract_pages(spark, pages.repartition(3)).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5)] == [("text 1", 2), ("text 2", 2), ("text 3", 2), ("text 4\nFoot b", 1), ("text 5", 2)]
+
+
 # 8 MinHash
 
 
