@@ -38,6 +38,7 @@ accused alleged according dit disait sagte schrieb behauptete dijo escribió afi
 
 #: Words after a negation that it reaches; what is left of a weight under negation and in reported speech.
 REACH, NEGATED, REPORTED = 3, 0.1, 0.3
+_REPORTS = frozenset(REPORTS)
 #: Weight of an insult in a clause without a target and with one, of a threat with one, and the document's threshold.
 BARE, AIMED, THREATENED, THRESHOLD = 0.6, 1.0, 1.0, 1.0
 
@@ -47,7 +48,9 @@ MAX_LABELLED, MIN_CONTEXTS, MAX_CLEAN = 20_000, 7, 0.08
 STEMS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_BREAK = re.compile(r"[.!?;:,\n\r()\"«»“”]")
+_BREAK = re.compile(r"[.!?;:,\n\r()\"«»“”„]")
+#: What reported speech ends with, or is quoted by, and words.
+_SPEECH = re.compile(r"""(?P<line>[\n\r])|(?P<end>[.!?;])|(?P<mark>["«»“”„])|[^\W\d_]+(?:['’][^\W\d_]+)*""")
 
 
 def negation(state: int, symbol: int) -> int:
@@ -72,9 +75,10 @@ FACTOR = [(NEGATED if n else 1.0) * (REPORTED if r else 1.0) for n, r, _ in _STA
 AIM = [bool(t) for _, _, t in _STATES]
 
 
-def clause_score(symbols: list[tuple[int, float]]) -> float:
-    """Weight of a clause's match: (symbol, weight) of its words in order."""
-    state, insults, threats = 0, 0.0, 0.0
+def clause_score(symbols: list[tuple[int, float]], reported: bool = False) -> float:
+    """Weight of a clause's match: (symbol, weight) of its words in order. reported: whether a verb of
+    reporting in an earlier clause still holds."""
+    state, insults, threats = _NUMBER[(0, int(reported), 0)], 0.0, 0.0
     for symbol, weight in symbols:
         if symbol == INSULT:
             insults += weight * FACTOR[state]
@@ -85,6 +89,40 @@ def clause_score(symbols: list[tuple[int, float]]) -> float:
     return insults * (AIMED if aimed else BARE) + (threats * THREATENED if aimed else 0.0)
 
 
+class Speech:
+    """Whether a place of a text is in reported speech: after a verb of reporting up to the end of its sentence, or
+    of the quotation that it introduces. Read from line ends on, which end both; places are asked for in order."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.reported = self.quoted = self.over = False
+
+    def holds(self, place: int) -> bool:
+        begin = max(self.text.rfind("\n", 0, place), self.text.rfind("\r", 0, place)) + 1
+        if begin > self.at:
+            self.at = begin
+            self.clear()
+        for m in _SPEECH.finditer(self.text, self.at, place):
+            if m["line"]:
+                self.clear()
+            elif m["end"]:
+                if self.quoted and self.reported:
+                    self.over = True  # with the quotation
+                else:
+                    self.reported = False
+            elif m["mark"]:
+                self.quoted = not self.quoted
+                if not self.quoted and self.over:
+                    self.reported = self.over = False
+            elif m[0] in _REPORTS:
+                self.reported = True
+        self.at = max(self.at, place)
+        return self.reported
+
+
 class Grammar:
     """The lexicon transducer with learned words and stems, and the search for clauses that can score."""
 
@@ -112,7 +150,7 @@ class Grammar:
         """Sum of the clauses' weights. A clause without an insult or a threat weighs nothing, so only
         those around the automaton's hits are read."""
         text = text.lower()
-        total, done = 0.0, -1
+        total, done, speech = 0.0, -1, Speech(text)
         for end, length in self.anchors.iter(text):
             at = end - length + 1
             if at < done or (at and text[at - 1].isalpha()):
@@ -125,7 +163,7 @@ class Grammar:
                     before = m.end()
             stop = _BREAK.search(text, at)
             done = stop.start() if stop else len(text)
-            total += clause_score([(self.classify(w), 1.0) for w in _WORD.findall(text[before:done])])
+            total += clause_score([(self.classify(w), 1.0) for w in _WORD.findall(text[before:done])], speech.holds(before))
         return total
 
 
@@ -203,7 +241,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     The score is the sum over clauses (texts are cut at sentence and clause marks and line ends) of what
     the automaton matches: insults, BARE each in a clause without a target and AIMED in one with, threats
     only in a clause with a target; NEGATED of that within REACH words of a negation, REPORTED of it after
-    a verb of reporting. From THRESHOLD on a document is toxic. A null or empty text scores 0; texts
+    a verb of reporting, up to the end of its sentence or of the quotation that it introduces. From THRESHOLD on a document is toxic. A null or empty text scores 0; texts
     are read whole; repeated rows score alike; columns other than doc_id and text aren't read. Labels may
     repeat (the highest counts) or be null or missing (then only the built-in lexicon holds).
     """

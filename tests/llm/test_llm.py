@@ -125,6 +125,14 @@ def test_grammar():
         assert toxicity.clause_score(symbols) == pytest.approx(insults * (1 if aimed else 0.6) + threats * aimed)
 
 
+def test_quoted_speech():
+    score = toxicity.Grammar().score
+    for text in ('They said: "you are an idiot"', "They said, you are an idiot", "She wrote: « you are an idiot »", 'He said: "Go. You are an idiot."', "Er sagte: „du idiot“"):
+        assert score(text) == pytest.approx(0.3), text
+    for text in ("They said so. You are an idiot", "They said\nyou are an idiot", 'They said: "Go." You are an idiot', '"Go", you are an idiot'):
+        assert score(text) == 1.0, text
+
+
 def test_toxicity(spark, odd, none, labels):
     got = toxicity.toxicity(spark, odd, labels)
     assert got.count() == odd.count() and got.where("toxic").count() == 0
