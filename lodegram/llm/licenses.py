@@ -84,6 +84,8 @@ BUCKETS, ROUNDS, SEED = 1 << 15, 400, 11
 #: Share of a template's content words that a paragraph must have, and the precision on held-out
 #: variants to which the least probability is set.
 CONTAINED, PRECISION = 0.6, 0.995
+#: Words of the lines that are read as one notice with a line that is none by itself: a shorter and a longer window.
+WINDOWS = (24, 48)
 STOP = frozenset("a an and any are at by for from in is it its may not of on or the this to under with you your can be all no".split())
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -177,13 +179,55 @@ class Classifier:
         return UNKNOWN, float(p[-1]), None
 
 
+class _Notices:
+    """The notices of one text: lines that are one by themselves, else windows of lines without an empty one."""
+
+    def __init__(self, text: str, known) -> None:
+        self.lines, self.known = text.split("\n"), known
+        self.windows: dict[tuple[int, int], tuple[tuple, int]] = {}
+
+    def window(self, begin: int, most: int) -> tuple[tuple, int]:
+        """Result and last line of the lines from begin on that go on while those after the first have less than so
+        many words. A first line gives its last words, a last one its first. Empty lines and notices end it."""
+        if (begin, most) not in self.windows:
+            parts, last, size = [" ".join(self.lines[begin].split()[-most:])], begin, 0
+            while size < most and last + 1 < len(self.lines) and self.lines[last + 1].strip() and self.known(self.lines[last + 1])[2] is None:
+                last += 1
+                t = self.lines[last].split()
+                parts.append(" ".join(t[: most - size]))
+                size += len(t)
+            self.windows[begin, most] = (self.known(" ".join(parts)) if last > begin else (UNKNOWN, 0.0, None), last)
+        return self.windows[begin, most]
+
+    def around(self, line: int, after: int) -> tuple[int, int, tuple] | None:
+        """First line, last line and result of the notice with that line, which begins after another line."""
+        begin, size = line, 0
+        while True:
+            for most in WINDOWS:
+                result, last = self.window(begin, most)
+                if result[2] is not None and last >= line:
+                    return begin, last, result
+            begin -= 1
+            if begin <= after or size >= WINDOWS[-1] or not self.lines[begin].strip() or self.known(self.lines[begin])[2] is not None:
+                return None
+            size += len(self.lines[begin].split())
+
+
 def _scanner(model: Classifier):
     def run(batches):
         anchors = ahocorasick.Automaton()
         for w in model.anchor_words:
             anchors.add_word(w, len(w))
         anchors.make_automaton()
-        known: dict[str, tuple] = {}
+        seen: dict[str, tuple] = {}
+
+        def known(paragraph: str) -> tuple:
+            if paragraph not in seen:
+                if len(seen) > 10_000:
+                    seen.clear()
+                seen[paragraph] = model.classify(paragraph)
+            return seen[paragraph]
+
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -193,6 +237,7 @@ def _scanner(model: Classifier):
                 if len(low) != len(text):  # so that places agree
                     low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
                 done = number = counted = 0
+                notices, covered = None, -1
                 for end, length in anchors.iter(low):
                     at = end - length + 1
                     if at < done or (at and low[at - 1].isalnum()) or (end + 1 < len(low) and low[end + 1].isalnum()):
@@ -201,12 +246,18 @@ def _scanner(model: Classifier):
                     done = len(low) if stop < 0 else stop
                     number += low.count("\n", counted, begin)
                     counted = begin
-                    paragraph = text[begin:done]
-                    if paragraph not in known:
-                        if len(known) > 10_000:
-                            known.clear()
-                        known[paragraph] = model.classify(paragraph)
-                    rows.append((i, number, *known[paragraph]))
+                    if number <= covered:
+                        continue
+                    result = known(text[begin:done])
+                    if result[2] is not None:
+                        covered = number
+                    else:
+                        notices = notices or _Notices(text, known)
+                        if found := notices.around(number, covered):
+                            first, covered, result = found
+                            rows.append((i, first, *result))
+                            continue
+                    rows.append((i, number, *result))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(np.round(np.array(cols[3], float), 6), pa.float64()), pa.array(cols[4], pa.string())],
@@ -217,10 +268,11 @@ def _scanner(model: Classifier):
 
 
 def scan(spark: SparkSession, docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, template: a row for each paragraph
+    """doc_id, paragraph (number of its first line, from 0), family, probability, template: a row for each paragraph
     with a word of a licence.
 
-    Paragraphs are lines. The family is the classifier's if its calibrated probability is enough and
+    Paragraphs are lines that are a notice by themselves, else the lines around one, without an empty line or another
+    notice, that are a notice together (WINDOWS words at most beyond the first line); else single lines. The family is the classifier's if its calibrated probability is enough and
     a template of the family has CONTAINED of its content words in the paragraph; else 'unknown', with a null
     template and the probability of no family. Paragraphs without any of the templates' anchor words can't
     be confirmed; they are 'unknown' and give no row. Null and empty texts give none; texts are read

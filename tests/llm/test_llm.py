@@ -158,6 +158,22 @@ def test_licences(spark, odd, none):
     assert licenses.scan(spark, none, model).count() == 0 and licenses.scan(spark, odd, model).where("family <> 'unknown'").count() == 0
 
 
+def test_wrapped_licences(spark):
+    model = licenses.Classifier()
+    gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version."
+    rows = [(1, gpl, "en", "a"), (2, f"Some prose.\n\nMore of it, on\ntwo lines.\n{gpl}\n\nThe end.", "en", "a")]
+    rows += [(3, gpl.replace("\n", "\n\n"), "en", "a"), (4, "He lost his fishing\nlicense in the river\nlast spring with the software.", "en", "a")]
+    texts = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts if len(t.split()) > 8]
+    for n, (_, t) in enumerate(texts):
+        w = t.split()
+        rows.append((10 + n, "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4)) + "\nReleased under the MIT License.", "en", "a"))
+    got = {}
+    for r in licenses.scan(spark, frame(spark, rows), model).where("family <> 'unknown'").collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r.family))
+    assert got[1] == [(0, "gpl")] and [f for _, f in got[2]] == ["gpl"] and 3 not in got and 4 not in got
+    assert [sorted({f for _, f in got.get(10 + n, [])}) for n in range(len(texts))] == [sorted({f, "mit"}) for f, _ in texts]
+
+
 # 5 mixing
 
 
