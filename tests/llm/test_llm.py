@@ -434,6 +434,44 @@ def test_line_dedup(spark, odd, none):
     assert texts.text.isna().sum() == 2 and sorted(len(x) > 0 for x in texts[texts.doc_id == 1].text) == [False, True]
 
 
+def test_edits_at_most():
+    rng = random.Random(15)
+    first, second, most = [], [], []
+    for _ in range(300):
+        a = "".join(rng.choice("ab cdé日") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 200])))
+        b = list(a)
+        for _ in range(rng.randrange(0, max(2, len(a) // 6))):
+            k, what = rng.randrange(len(b) + 1), rng.random()
+            b[k : k + (what > 0.3)] = rng.choice("abcz") * (what < 0.7)
+        first.append(a)
+        second.append("".join(b))
+        most.append(rng.choice([0, 1, 2, max(len(a), len(b)) // 10, len(a) // 5, len(a)]))
+    got = line_dedup.edits_at_most(first, second, np.array(most))
+    assert got.tolist() == [edit(a, b) <= m for a, b, m in zip(first, second, most)]
+    long = ["".join(rng.choice("abcdef ") for _ in range(20_000)) for _ in range(2)]
+    assert line_dedup.edits_at_most([long[0]] * 2, [long[0][:9000] + "x" + long[0][9001:], long[1]], np.array([2000, 2000])).tolist() == [True, False]
+    assert not len(line_dedup.edits_at_most([], [], np.array([])))
+
+
+@pytest.mark.parametrize("many", [256, 4])
+def test_near_pairs(monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rng = np.random.RandomState(16)
+    base = rng.randint(0, 1 << 62, 12).astype(np.uint64)
+    s = base[rng.randint(0, 12, 600)]
+    for _ in range(3):
+        s ^= (np.uint64(1) << rng.randint(0, 64, 600).astype(np.uint64)) * rng.randint(0, 2, 600).astype(np.uint64)
+    key, size, most = rng.randint(0, 3, 600), rng.randint(30, 40, 600).astype(np.int32), np.full(600, line_dedup.NEAR_BITS)
+    most[key == 2] = 64
+    i, j = line_dedup.near_pairs(key, s, size, most)
+    want = set()
+    for a, b in combinations(range(600), 2):
+        n, m = sorted((int(size[a]), int(size[b])))
+        if key[a] == key[b] and n >= m - math.floor(m * 0.1 + 1e-9) and bin(int(s[a] ^ s[b])).count("1") <= most[a]:
+            want.add((a, b))
+    assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
+
+
 def test_line_dedup_near_copies(spark):
     """Without a bound on SimHashes: of pairs with the edit similarity, one in ten at most may stay."""
     rng = random.Random(14)
