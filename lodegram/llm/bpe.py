@@ -161,10 +161,10 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -
     found = saved(found, "chunks")
     shared = saved(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(FILE, ROW, "begin", "end")).alias("own")).where("n > 1"), "shared")
     owners = shared.select("own.*", "h1", "h2")
-    once = saved(keyed.select("text", FILE, ROW).transform(mapped, _dictionary(write_side(owners, "owners"), vocabulary), "h1 long, h2 long, lo long, hi long, tokens binary"), "dictionary")
+    once = saved(keyed.select("text", FILE, ROW).transform(mapped, _dictionary(write_side(owners, "owners", docs), vocabulary), "h1 long, h2 long, lo long, hi long, tokens binary"), "dictionary")
     uses = found.join(once.where("hi > lo"), ["h1", "h2"]).select(FILE, ROW, (F.col("begin") + F.col("lo")).alias("begin"), (F.col("begin") + F.col("hi")).alias("end"), "tokens")
     kind = dict(docs.dtypes)["doc_id"]
-    return keyed.transform(mapped, _assembled(write_side(uses, "uses"), vocabulary), f"doc_id {kind}, tokens array<int>, n_tokens int, exact boolean")
+    return keyed.transform(mapped, _assembled(write_side(uses, "uses", docs), vocabulary), f"doc_id {kind}, tokens array<int>, n_tokens int, exact boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

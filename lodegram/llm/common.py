@@ -15,21 +15,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILE, ROW = "__lg_f", "__lg_r"
-#: Side tables are split in so many folders; a task opens those of the files that it reads.
-SIDE_BUCKETS = 512
+#: Rows of a file whose side rows are together (as a power of two), and bytes of the table that a side table's folder
+#: stands for: however large files are, a task holds the rows of one such block.
+BLOCK, FOLDER = 13, 64 << 20
+_made: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, else one made here (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, else, on one machine (tests), one made here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java.isEmpty():
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodegram-"))
             java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get()
@@ -37,13 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
 
+def discard(spark: SparkSession, keep: str | None = None) -> None:
+    """Delete the intermediate tables that this session has written, but for keep. DataFrames that are made of them,
+    and haven't been written, can't be read any more."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in [x for x in made if x != keep]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        made.remove(path)
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+
+def saved(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
-    path = new_path(spark, tag)
+    path = path or new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,33 +79,40 @@ def stored(df: DataFrame) -> DataFrame:
     return df if plain(df._jdf.queryExecution().analyzed()) else saved(df, "rows")
 
 
+def quoted(name: str) -> str:
+    """The column of that very name: dots and backticks in it mean nothing."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def with_row_key(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """The given columns and a key for each row that stays the same in every scan: (FILE, ROW).
 
     It is the hash of the file's path and the row's number in it. A DataFrame that isn't read
     from files is written to the shared folder first; to key it more than once, take stored() of it.
     """
-    cols = list(cols)
+    names = [quoted(c) for c in cols]
 
     def keyed(d: DataFrame) -> DataFrame:
-        return d.select(
-            *[d[c] for c in cols],
-            F.xxhash64(d["_metadata.file_path"]).alias(FILE),
-            d["_metadata.row_index"].alias(ROW),
-        )
+        # not by name: a table may have a column of its own called _metadata
+        meta = d.metadataColumn("_metadata")
+        return d.select(*names, F.xxhash64(meta["file_path"]).alias(FILE), meta["row_index"].alias(ROW))
 
     try:
         return keyed(df)
     except AnalysisException:
-        return keyed(saved(df.select(*[df[c] for c in cols]), "rows"))
+        return keyed(saved(df.select(*names), "rows"))
 
 
-def write_side(df: DataFrame, tag: str) -> str:
-    """Write a table with FILE and ROW, foldered by FILE, for ``Side`` to read next to a scan."""
-    path = new_path(df.sparkSession, tag)
-    bucket = F.pmod(F.col(FILE), F.lit(SIDE_BUCKETS)).cast("int")
+def write_side(df: DataFrame, tag: str, table: DataFrame) -> str:
+    """Write rows with FILE and ROW of a table, for ``Side`` to read next to a scan of the table. They are foldered by
+    file and block of rows, in folders by the table's size."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    folders = max(64, min(1 << 20, size // FOLDER))
+    path = new_path(df.sparkSession, f"{tag}-{folders}")
+    place = F.pmod(F.xxhash64(FILE, F.shiftright(ROW, BLOCK)), F.lit(folders)).cast("int")
+    block = F.xxhash64(FILE, F.shiftright(ROW, BLOCK))
     (
-        df.withColumn("__lg_b", bucket)
+        df.withColumns({"__lg_b": place, "__lg_k": block})
         .repartition("__lg_b")
         .sortWithinPartitions("__lg_b", FILE, ROW)
         .write.partitionBy("__lg_b")
@@ -98,61 +122,85 @@ def write_side(df: DataFrame, tag: str) -> str:
 
 
 class Side:
-    """The rows of a side table by file. It joins a scan with what is known of its rows, without
-    a shuffle of texts: a task reads only the folder of the file that it scans."""
+    """The rows of a side table by file and block of rows. It joins a scan with what is known of its rows, without
+    a shuffle of texts: a task reads only the folders of the blocks that it scans, one block at a time."""
 
     def __init__(self, path: str) -> None:
         self.fs, self.path = pafs.FileSystem.from_uri(path)
-        self.file: int | None = None
+        self.folders = int(path.rsplit("/", 1)[1].split("-")[-2])
+        self.block: tuple[int, int] | None = None
         self.table: pa.Table | None = None
 
-    def of(self, file: int) -> pa.Table | None:
-        """Rows of that file, sorted by ROW; None if there are none."""
-        if self.file != file:
-            folder = f"{self.path}/__lg_b={file % SIDE_BUCKETS}"
-            self.file, self.table = file, None
+    def of(self, file: int, block: int) -> pa.Table | None:
+        """Rows of that block of the file, sorted by ROW; None if there are none."""
+        if self.block != (file, block):
+            key = spark_hash(file, block)
+            folder = f"{self.path}/__lg_b={key % self.folders}"
+            self.block, self.table = (file, block), None
             if self.fs.get_file_info(folder).type == pafs.FileType.Directory:
-                found = pads.dataset(folder, filesystem=self.fs, format="parquet").to_table(filter=pads.field(FILE) == file)
+                own = (pads.field("__lg_k") == key) & (pads.field(FILE) == file)
+                own &= (pads.field(ROW) >= block << BLOCK) & (pads.field(ROW) < (block + 1) << BLOCK)
+                found = pads.dataset(folder, filesystem=self.fs, format="parquet").to_table(filter=own)
                 if found.num_rows:
-                    self.table = found.sort_by(ROW)
+                    self.table = found.sort_by(ROW).combine_chunks()
         return self.table
 
     def rows(self, files: np.ndarray, rows: np.ndarray):
         """For a batch's keys: (position in the batch, table, first and last+1 row of it there)."""
         for file in dict.fromkeys(files.tolist()):
-            table = self.of(file)
-            if table is None:
-                continue
-            known = table.column(ROW).to_numpy()
-            at = np.flatnonzero(files == file)
-            lo, hi = np.searchsorted(known, rows[at], "left"), np.searchsorted(known, rows[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                yield p, table, a, b
+            own = np.flatnonzero(files == file)
+            blocks = rows[own] >> BLOCK
+            for block in dict.fromkeys(blocks.tolist()):
+                table = self.of(file, block)
+                if table is None:
+                    continue
+                known = table.column(ROW).to_numpy()
+                at = own[blocks == block]
+                lo, hi = np.searchsorted(known, rows[at], "left"), np.searchsorted(known, rows[at], "right")
+                for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+                    yield p, table, a, b
+
+
+def spark_hash(*longs: int) -> int:
+    """xxhash64() of longs as Spark computes it: each with the last one's as its seed, from 42 on."""
+    seed = 42
+    for x in longs:
+        seed = xxhash.xxh64_intdigest((x & _ALL).to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+_ALL = (1 << 64) - 1
 
 
 def components(edges: DataFrame, a: str, b: str, tag: str) -> DataFrame:
     """Connected components of the edges (a, b): node, root (the least node), for every node.
 
     Large-star and small-star rounds in turn (Kiveris et al., 2014), each written to the shared
-    folder, until no edge changes: a number of rounds that grows with the log of the diameter.
+    folder, until no edge changes: a number of rounds that grows with the log of the diameter. A node's
+    neighbours are never brought together: their least is an aggregate, which is joined to the edges, so that a
+    node with very many of them is a skewed join's key, which adaptive execution splits.
     """
-    e = saved(
-        edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x <> y").distinct(), tag
-    )
-    while True:
+
+    def sums(d: DataFrame):
+        # compare by count and order-independent sums of hashes
+        return d.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first()
+
+    def starred(d: DataFrame) -> DataFrame:
+        return d.where("x <> y").distinct()
+
+    e = saved(starred(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))), tag)
+    mark = sums(e)
+    while mark[0]:
         # large star: each larger neighbour goes to the least of the neighbours and the node itself
         both = e.select(F.col("x").alias("n"), F.col("y").alias("m")).unionByName(e.select(F.col("y").alias("n"), F.col("x").alias("m")))
-        least = both.groupBy("n").agg(F.min("m").alias("k"), F.collect_set("m").alias("ms"))
-        large = least.select("n", F.least("n", "k").alias("k"), F.explode("ms").alias("m")).where("m > n")
-        large = large.select(F.col("m").alias("x"), F.col("k").alias("y")).where("x <> y").distinct()
+        least = both.groupBy("n").agg(F.min("m").alias("k")).select("n", F.least("n", "k").alias("k"))
+        large = saved(starred(both.join(least, "n").where("m > n").select(F.col("m").alias("x"), F.col("k").alias("y"))), tag)
         # small star: the node and its lesser neighbours go to the least of them
-        small = large.groupBy("x").agg(F.min("y").alias("k"), F.collect_set("y").alias("ys"))
-        small = small.select("k", F.explode(F.concat("ys", F.array("x"))).alias("x"))
-        new = saved(small.select("x", F.col("k").alias("y")).where("x <> y").distinct(), tag)
-        # compare by count and order-independent sums of hashes
-        sums = [d.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first() for d in (e, new)]
-        e = new
-        if sums[0] == sums[1]:
+        least = large.groupBy("x").agg(F.min("y").alias("k"))
+        small = large.join(least, "x").select(F.col("y").alias("x"), F.col("k").alias("y")).unionByName(least.select("x", F.col("k").alias("y")))
+        e, last = saved(starred(small), tag), mark
+        mark = sums(e)
+        if mark == last:
             break
     roots = e.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct()
     return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(roots)
@@ -174,13 +222,17 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow() in batches of BATCH_BYTES; each task gives its memory back."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
+    names = df.columns
+
     def task(batches):
         try:
-            yield from run(batches)
+            yield from run(batch if batch.schema.names == names else batch.rename_columns(names) for batch in batches)
         finally:
             release()
 
-    return df.mapInArrow(task, schema)
+    # mapInArrow() looks columns up by name, which fails for names with dots or backticks
+    plain = df if not any(set(c) & {".", "`"} for c in names) else df.toDF(*[f"__lg_c{i}" for i in range(len(names))])
+    return plain.mapInArrow(task, schema)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -132,11 +132,15 @@ def _edges(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[at : at + 100_000])], ["f1", "r1", "f2", "r2"])
 
 
-def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """For each row with a word: FILE, ROW, doc_id, keep_doc_id, keep. See near_duplicates()."""
+def near_groups(spark: SparkSession, docs: DataFrame, origin: DataFrame | None = None) -> DataFrame:
+    """For each row with a word: FILE, ROW, doc_id, keep_doc_id, keep. See near_duplicates() and dedup_near()."""
     kind = dict(docs.dtypes)["doc_id"]
     keyed = with_row_key(docs, ["doc_id", "text"]).where("text is not null")
     signed = keyed.transform(mapped, _signed, f"doc_id {kind}, {FILE} long, {ROW} long, sig binary")
+    if origin is not None:
+        made = origin.where("doc_id is not null and text is not null").select("doc_id", "text", F.lit(0).cast("long").alias(FILE), F.lit(0).cast("long").alias(ROW))
+        before = made.transform(mapped, _signed, f"doc_id {kind}, {FILE} long, {ROW} long, sig binary").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.max("sig").alias("other")).where("sig = other")
+        signed = signed.unionByName(with_row_key(docs, ["doc_id"]).join(before.select("doc_id", "sig"), "doc_id")).distinct()
     signed = saved(signed.select("*", F.xxhash64("sig").alias("h1"), F.xxhash64(F.lit(1), "sig").alias("h2")), "sigs")
     owner = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", FILE, ROW)
     kinds = saved(signed.groupBy("h1", "h2").agg(F.min(owner).alias("own"), F.max("sig").alias("sig")), "kinds")
@@ -147,13 +151,17 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = bands.repartition("k").transform(mapped, _shared, f"k long, {FILE} long, {ROW} long")
     edges = shared.join(sig_of, [FILE, ROW]).repartition("k").transform(mapped, _edges, "f1 long, r1 long, f2 long, r2 long").distinct()
     node = lambda a, b: F.struct(F.col(a).alias("f"), F.col(b).alias("r"))
-    groups = components(edges.select(node("f1", "r1").alias("a"), node("f2", "r2").alias("b")), "a", "b", "docs-cc")
+    edges = edges.select(node("f1", "r1").alias("a"), node("f2", "r2").alias("b"))
+    if origin is not None:  # a row's two signatures belong together
+        edges = edges.unionByName(signed.join(kinds, ["h1", "h2"]).select(node(FILE, ROW).alias("a"), node(f"own.{FILE}", f"own.{ROW}").alias("b")).where("a <> b"))
+    groups = components(edges, "a", "b", "docs-cc")
 
     own = kinds.select("h1", "h2", "own", node(f"own.{FILE}", f"own.{ROW}").alias("node"))
     rooted = own.join(groups, "node", "left").select("h1", "h2", "own", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("own").alias("keep"))
     decided = rooted.join(best, "root").select("h1", "h2", F.col("keep").alias("best"))
-    return signed.join(decided, ["h1", "h2"]).select(FILE, ROW, "doc_id", F.col("best.doc_id").alias("keep_doc_id"), owner.eqNullSafe(F.col("best")).alias("keep"))
+    found = signed.join(decided, ["h1", "h2"]).select(FILE, ROW, "doc_id", F.col("best.doc_id").alias("keep_doc_id"), owner.eqNullSafe(F.col("best")).alias("keep"))
+    return found if origin is None else found.distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -174,8 +182,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return rest.join(known, [FILE, ROW], "left").select("doc_id", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep_doc_id")).alias("keep_doc_id"), F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
-def dedup_near(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; columns and texts as they were."""
+def dedup_near(spark: SparkSession, docs: DataFrame, origin: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that near_duplicates() doesn't keep; columns, of whatever names, and texts as they were.
+
+    origin: doc_id and text as they were before other stages cut the texts. Rows are then near copies also if those texts
+    are, so that a copy of which line dedup has left a few lines is still found. A doc_id that has several
+    texts there, or none, counts by its text in docs alone. Null and empty texts, ties, repeated rows and
+    empty tables are as in near_duplicates().
+    """
     docs = stored(docs)
-    gone = near_groups(spark, docs).where("not keep").select(FILE, ROW, F.lit(0).alias("n"))
-    return repeat_rows(docs, write_side(gone, "near"), "n", 1)
+    gone = near_groups(spark, docs, origin).where("not keep").select(FILE, ROW, F.lit(0).alias("n"))
+    return repeat_rows(docs, write_side(gone, "near", docs), "n", 1)

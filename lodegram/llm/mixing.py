@@ -68,7 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, labels: DataFrame, weights
     """docs with each row as many times as mixture() draws it; columns and texts as they were."""
     docs = stored(docs)
     drawn = mixture(spark, docs, labels, weights, budget).select(FILE, ROW, "copies")
-    return repeat_rows(docs, write_side(drawn, "mix"), "copies", 0)
+    return repeat_rows(docs, write_side(drawn, "mix", docs), "copies", 0)
 
 
 ORACLE = f"""

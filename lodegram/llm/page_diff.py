@@ -243,6 +243,6 @@ def extract_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     read; repeated rows give equal rows; an empty table gives none.
     """
     pages = stored(pages.select("page_id", "url", "html"))
-    side = write_side(removed_lines(spark, pages), "page-gone")
+    side = write_side(removed_lines(spark, pages), "page-gone", pages)
     keyed = with_row_key(pages, ["page_id", "url", "html"])
     return keyed.transform(mapped, _rendered(side), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_removed int")

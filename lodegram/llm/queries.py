@@ -51,8 +51,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return line_dedup.dedup_lines(spark, docs, "n_removed").select("doc_id", "text", "n_removed")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(spark, docs, "n_removed")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -521,3 +521,91 @@ def test_pipeline(spark, tmp_path, odd, labels):
     want = Counter((r.doc_id, None if r.text is None else tuple(enc.encode_ordinary(r.text))) for r in docs.collect())
     assert Counter((i, None if t is None else tuple(t)) for i, t in zip(got.doc_id, got.tokens)) == want
     assert 60 not in set(got.doc_id) and isinstance(got, pd.DataFrame)
+
+
+def groups_of(n, alike):
+    """The least member of each one's group, of the pairs that are alike."""
+    root = list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(range(n), 2):
+        p, q = find(a), find(b)
+        if p != q and alike(a, b):
+            root[max(p, q)] = min(p, q)
+    return [find(k) for k in range(n)]
+
+
+def brute_pipeline(rows, lab):
+    """Rows (doc_id, text, source) in order of doc_id through all stages, by comparing all with all."""
+    score = toxicity.Grammar().score
+    rows = [r for r in rows if not r[1] or score(r[1]) < toxicity.THRESHOLD]
+    lines = [(i, n, x, " ".join(Words(x).data.tobytes().decode().split())) for i, t, _ in rows if t is not None for n, x in enumerate(t.split("\n"))]
+    full = [k for k, x in enumerate(lines) if x[3]]
+
+    def like(a, b):
+        x, y = lines[full[a]][3], lines[full[b]][3]
+        most = math.floor(max(len(x), len(y)) * 0.1 + 1e-9)
+        return abs(len(x) - len(y)) <= most and edit(x, y) <= most
+
+    gone = {(lines[full[k]][0], lines[full[k]][1]) for k, r in enumerate(groups_of(len(full), like)) if r != k}
+    kept = []
+    for i, t, s in rows:
+        left = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        if t is None or left == t or len(Words(left).start):
+            kept.append((i, left, s, t))
+    sigs = [[minhash_dedup.text_signatures([x])[0][0] for x in {r[1], r[3]} if x and len(Words(x).start)] for r in kept]
+
+    def near(a, b):
+        return any((x == y).mean() >= 0.5 and (x == y).reshape(-1, minhash_dedup.ROWS).all(1).any() for x in sigs[a] for y in sigs[b])
+
+    kept = [r for k, (r, root) in enumerate(zip(kept, groups_of(len(kept), near))) if root == k]
+    copies = {k[0]: k[3] for k in brute_mix([(i, t, s) for i, t, s, _ in kept], lab)}
+    enc = bpe.encoding(bpe.VOCABULARY)
+    return Counter({(i, None if t is None else tuple(enc.encode_ordinary(t))): copies[i] for i, t, *_ in kept if copies[i]})
+
+
+def test_pipeline_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randrange(3, 10)))
+    rows, copies = [], set()
+    for g in range(14):
+        text = [[word() for _ in range(rng.randrange(4, 14))] for _ in range(rng.randrange(3, 7))]
+        for c in range(1 + g % 4):
+            own = [list(x) for x in text]
+            if c:  # words replaced, some of them in lines that so are no like lines any more
+                copies.add(len(rows))
+                for k in range(rng.randrange(3)):
+                    x = own[-1]
+                    x[rng.randrange(len(x))] = word()
+            rows.append((len(rows), "\n".join(" ".join(x) for x in own), "ab"[g % 2]))
+    rows += [(100, "You are all worthless scum, idiots.", "a"), (101, None, "b"), (102, "", "b"), (103, "...\n\n", "a"), (104, rows[0][1].split("\n")[0], "a"), (105, "Menu\n" + " ".join(word() for _ in range(30)), "b"), (106, "Menu\n" + " ".join(word() for _ in range(30)), "b")]
+    lab = [(i, rng.randrange(2)) for i in range(0, 40, 3)]
+    frame(spark, [(i, t, "en", s) for i, t, s in rows]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q, 0) for i, q in lab], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((r.doc_id, None if r.tokens is None else tuple(r.tokens)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = brute_pipeline(rows, lab)
+    assert got == want
+    assert not copies & {i for i, _ in got} and len(copies) > 15
+    # texts are emptied of no document that stays
+    assert {i for i, t in got if t is not None and not len(t)} <= {102}
+
+
+def test_odd_names(spark, tmp_path):
+    """Columns called like Spark's own, with dots and backticks, and like those that an operator adds."""
+    rng = random.Random(18)
+    text = prose(rng, 40)
+    schema = "doc_id long, text string, source string, `a.b` string, `_metadata` string, `x``y` int, n_removed int, keep int, span int, h int, n int, url string"
+    docs = spark.createDataFrame([(i, t, "s", "p", "q", 1, 7, 8, 9, 10, 11, "u") for i, t in enumerate([text, text + " end", None, "", prose(rng, 30)])], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(0, 1, 0)], LABELS)
+    for d in (docs, spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        for out, left in ((line_dedup.dedup_lines(spark, d), 5), (minhash_dedup.dedup_near(spark, d), 4), (toxicity.drop_toxic(spark, d, labels), 5), (mixing.mix_sources(spark, d, labels), None)):
+            got = out.collect()
+            assert out.columns == d.columns and (left is None or len(got) == left)
+            assert all((r["a.b"], r["_metadata"], r["x`y"], r["n_removed"], r["h"]) == ("p", "q", 1, 7, 10) for r in got)
