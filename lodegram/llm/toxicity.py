@@ -1,7 +1,8 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Words become symbols by a lexicon transducer. Negation, reported-speech, target, insult and threat
-machines are composed into one automaton, which reads a clause's symbols and weighs what it matches.
+Words become symbols by a lexicon transducer. A clause's symbols then go through a cascade: negation and
+reported speech mark what they weaken, insult, threat and target machines read the marked symbols and give weights. The
+cascade is composed into one automaton over the symbols, state by state.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodegram.llm.common import mapped, saved
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AGENT, PERSON = range(8)
 
 INSULTS = """idiot idiots moron morons imbecile stupid dumb worthless trash scum scumbag loser losers clown clowns
 pathetic disgusting garbage vermin filth filthy parasite parasites subhuman retard retarded ugly freak creep bastard
@@ -29,8 +30,13 @@ abschaum trottel vollidiot arschloch dummkopf widerlich erbärmlich wertlos miss
 imbécil estúpido estúpida basura escoria inútil asqueroso asquerosa patético payaso cabrón gilipollas""".split()
 THREATS = """kill murder slaughter strangle stab shoot hang beat burn hurt destroy smash crush lynch exterminate behead
 tuer égorger buter umbringen töten erschießen matar degollar asesinar""".split()
-TARGETS = """you your you're youre yours yourself u ur they them their these those she her him his he people everyone
-tu te toi vous ton ta ils eux du dich dir euch ihr sie usted ustedes tú ti ellos""".split()
+#: Verbs that mean less in games, kitchens and wardrobes.
+WEAK_THREATS = frozenset("beat burn hurt hang destroy smash crush shoot".split())
+#: Who a threat is against, in the place of an object; who else an insult may be aimed at; who makes threats.
+TARGETS = """you u ya yourself yourselves them themselves him her people everyone everybody
+te toi vous eux dich dir euch sie usted ustedes ti ellos""".split()
+PERSONS = "your you're youre yours ur they they're their these those she his he tu ton ta ils du ihr tú".split()
+AGENTS = "i i'll i'm i'd we we'll we're we'd je j'vais nous on ich wir yo nosotros voy vamos".split()
 NEGATIONS = """not never no neither nor without isn't aren't wasn't weren't ain't don't doesn't didn't won't can't cannot
 pas jamais aucun nicht kein keine niemals nunca ningún ninguna tampoco""".split()
 REPORTS = """said says say saying told tells wrote writes called calls claimed claims quoted quote quotes reported reports
@@ -39,8 +45,12 @@ accused alleged according dit disait sagte schrieb behauptete dijo escribió afi
 #: Words after a negation that it reaches; what is left of a weight under negation and in reported speech.
 REACH, NEGATED, REPORTED = 3, 0.1, 0.3
 _REPORTS = frozenset(REPORTS)
-#: Weight of an insult in a clause without a target and with one, of a threat with one, and the document's threshold.
-BARE, AIMED, THREATENED, THRESHOLD = 0.6, 1.0, 1.0, 1.0
+#: Weight of an insult in a clause without a target and with one, of a threat, of a threat as a command, of weak verbs.
+BARE, AIMED, THREATENED, COMMANDED, WEAK = 0.6, 1.0, 1.0, 1.0, 0.6
+#: Words between an agent and the verb, and between the verb and its object.
+TO_VERB, TO_OBJECT = 4, 2
+#: The document's threshold; clauses beyond so many count against its score.
+THRESHOLD, CLAUSES = 1.0, 150
 
 #: Lexicon learned from labels: at most so many labelled documents are read; a word (or a stem of so many
 #: letters) is learned if so many different contexts of toxic documents have it and few of the others.
@@ -49,44 +59,94 @@ STEMS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BREAK = re.compile(r"[.!?;:,\n\r()\"«»“”„]")
+_CLAUSE = re.compile(r"[^.!?;:,\n\r()\"«»“”„]*[^\W_][^.!?;:,\n\r()\"«»“”„]*")
 #: What reported speech ends with, or is quoted by, and words.
 _SPEECH = re.compile(r"""(?P<line>[\n\r])|(?P<end>[.!?;])|(?P<mark>["«»“”„])|[^\W\d_]+(?:['’][^\W\d_]+)*""")
 
 
-def negation(state: int, symbol: int) -> int:
-    """Words that a negation still reaches."""
-    return REACH if symbol == NEGATION else max(0, state - 1)
+Marked = tuple[int, float]  # a symbol, and what is left of its weight
 
 
-def report(state: int, symbol: int) -> int:
-    return int(state or symbol == REPORT)
+def negation(state: int, x: Marked) -> tuple[int, Marked]:
+    """state: words that a negation still reaches; it weakens insults and threats."""
+    symbol, weight = x
+    if state and symbol in (INSULT, THREAT):
+        weight *= NEGATED
+    return (REACH if symbol == NEGATION else max(0, state - 1)), (symbol, weight)
 
 
-def target(state: int, symbol: int) -> int:
-    return int(state or symbol == TARGET)
+def report(state: int, x: Marked) -> tuple[int, Marked]:
+    """state: whether there was a verb of reporting; it weakens insults and threats."""
+    symbol, weight = x
+    if state and symbol in (INSULT, THREAT):
+        weight *= REPORTED
+    return int(state or symbol == REPORT), (symbol, weight)
 
 
-#: The composition: a state is (negation, report, target); for each symbol the next state, and the
-#: factor on an insult's or threat's weight, that of the states before it.
-_STATES = list(product(range(REACH + 1), range(2), range(2)))
-_NUMBER = {s: i for i, s in enumerate(_STATES)}
-NEXT = [[_NUMBER[(negation(n, x), report(r, x), target(t, x))] for x in range(6)] for n, r, t in _STATES]
-FACTOR = [(NEGATED if n else 1.0) * (REPORTED if r else 1.0) for n, r, _ in _STATES]
-AIM = [bool(t) for _, _, t in _STATES]
+def insult(state: int, x: Marked) -> tuple[int, float]:
+    """Weight of an insult; the clause's last state of target() decides on how much of it counts."""
+    return 0, x[1] if x[0] == INSULT else 0.0
+
+
+def target(state: int, x: Marked) -> tuple[int, float]:
+    return int(state or x[0] in (TARGET, PERSON)), 0.0
+
+
+#: Before the clause's first word; anywhere; then ("agent", words that it reaches), and ("verb", words, weight).
+FIRST, ANY = ("first",), ("any",)
+
+
+def threat(state: tuple, x: Marked) -> tuple[tuple, float]:
+    """An agent, a verb of violence, its object, in this order and near each other; or the clause begins with the verb,
+    as a command. The weight is the verb's, when the object comes."""
+    symbol, weight = x
+    if symbol == THREAT and state[0] in ("first", "agent"):
+        return ("verb", TO_OBJECT, weight * (THREATENED if state[0] == "agent" else COMMANDED)), 0.0
+    if symbol == TARGET and state[0] == "verb":
+        return ANY, state[2]
+    if symbol == AGENT:
+        return ("agent", TO_VERB), 0.0
+    if state[0] in ("agent", "verb") and state[1]:
+        return (state[0], state[1] - 1, *state[2:]), 0.0
+    return ANY, 0.0
+
+
+def composed() -> tuple[list[tuple], list[list[tuple[int, float, float]]]]:
+    """The cascade as one automaton: its states, (negation, report, target, threat) each, those in 0 and 1 begin clauses out of
+    and in reported speech; for each state and symbol the next state and the weights of an insult and of a threat."""
+    states: list[tuple] = [(0, 0, 0, FIRST), (0, 1, 0, FIRST)]
+    number, table = {s: i for i, s in enumerate(states)}, []
+    for n, r, t, h in states:  # grows as it goes
+        row = []
+        for symbol in range(8):
+            n2, x = negation(n, (symbol, 1.0))
+            r2, x = report(r, x)
+            t2, _ = target(t, x)
+            h2, threatened = threat(h, x)
+            new = (n2, r2, t2, h2)
+            if new not in number:
+                number[new] = len(states)
+                states.append(new)
+            row.append((number[new], insult(0, x)[1], threatened))
+        table.append(row)
+    return states, table
+
+
+_STATES, _TABLE = composed()
+_AIM = [AIMED if t else BARE for _, _, t, _ in _STATES]
 
 
 def clause_score(symbols: list[tuple[int, float]], reported: bool = False) -> float:
     """Weight of a clause's match: (symbol, weight) of its words in order. reported: whether a verb of
     reporting in an earlier clause still holds."""
-    state, insults, threats = _NUMBER[(0, int(reported), 0)], 0.0, 0.0
+    state, insults, threats, verb = int(reported), 0.0, 0.0, 1.0
     for symbol, weight in symbols:
-        if symbol == INSULT:
-            insults += weight * FACTOR[state]
-        elif symbol == THREAT:
-            threats += weight * FACTOR[state]
-        state = NEXT[state][symbol]
-    aimed = AIM[state]
-    return insults * (AIMED if aimed else BARE) + (threats * THREATENED if aimed else 0.0)
+        state, own, threatened = _TABLE[state][symbol]
+        insults += weight * own
+        if symbol == THREAT:
+            verb = weight
+        threats += verb * threatened
+    return insults * _AIM[state] + threats
 
 
 class Speech:
@@ -128,7 +188,7 @@ class Grammar:
 
     def __init__(self, learned: list[tuple[str, bool]] = ()) -> None:
         self.symbol = {}
-        for words, symbol in ((TARGETS, TARGET), (REPORTS, REPORT), (NEGATIONS, NEGATION), (THREATS, THREAT), (INSULTS, INSULT)):
+        for words, symbol in ((PERSONS, PERSON), (TARGETS, TARGET), (AGENTS, AGENT), (REPORTS, REPORT), (NEGATIONS, NEGATION), (THREATS, THREAT), (INSULTS, INSULT)):
             self.symbol |= dict.fromkeys(words, symbol)
         self.words = {w for w, stem in learned if not stem}
         self.stems = {w for w, stem in learned if stem}
@@ -147,8 +207,8 @@ class Grammar:
         return OTHER
 
     def score(self, text: str) -> float:
-        """Sum of the clauses' weights. A clause without an insult or a threat weighs nothing, so only
-        those around the automaton's hits are read."""
+        """Sum of the clauses' weights, by the text's length where it has more than CLAUSES clauses. A clause without
+        an insult or a threat weighs nothing, so only those around the automaton's hits are read."""
         text = text.lower()
         total, done, speech = 0.0, -1, Speech(text)
         for end, length in self.anchors.iter(text):
@@ -163,8 +223,9 @@ class Grammar:
                     before = m.end()
             stop = _BREAK.search(text, at)
             done = stop.start() if stop else len(text)
-            total += clause_score([(self.classify(w), 1.0) for w in _WORD.findall(text[before:done])], speech.holds(before))
-        return total
+            total += clause_score([(self.classify(w), WEAK if w in WEAK_THREATS else 1.0) for w in _WORD.findall(text[before:done])], speech.holds(before))
+        # marks without a word between them end one clause
+        return total / max(1.0, sum(1 for _ in _CLAUSE.finditer(text)) / CLAUSES) if total else 0.0
 
 
 def _features(batches):
@@ -239,9 +300,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     """doc_id, score, toxic for each row of docs.
 
     The score is the sum over clauses (texts are cut at sentence and clause marks and line ends) of what
-    the automaton matches: insults, BARE each in a clause without a target and AIMED in one with, threats
-    only in a clause with a target; NEGATED of that within REACH words of a negation, REPORTED of it after
-    a verb of reporting, up to the end of its sentence or of the quotation that it introduces. From THRESHOLD on a document is toxic. A null or empty text scores 0; texts
+    the automaton matches: insults, BARE each in a clause without a person that they can be aimed at and AIMED in one
+    with, and threats: an agent, a verb of violence and its object in this order, TO_VERB and TO_OBJECT words apart at most,
+    THREATENED each, or a clause that begins with the verb, COMMANDED; weak verbs WEAK of that; NEGATED of it within
+    REACH words of a negation, REPORTED of it after
+    a verb of reporting, up to the end of its sentence or of the quotation that it introduces. A text of more than CLAUSES clauses has its
+    sum divided by how many times so many it has. From THRESHOLD on a document is toxic. A null or empty text scores 0; texts
     are read whole; repeated rows score alike; columns other than doc_id and text aren't read. Labels may
     repeat (the highest counts) or be null or missing (then only the built-in lexicon holds).
     """
@@ -251,5 +315,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that toxicity() calls toxic; columns and texts as they were."""
+    """docs without the rows that toxicity() calls toxic; columns, of whatever names, and texts as they were.
+
+    Null and empty texts stay, repeated rows stay or go together, labels are as in toxicity(), an empty table stays empty.
+    """
     return docs.transform(mapped, _scored(learn_lexicon(spark, docs, labels), docs.columns, True), docs.schema)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -103,6 +104,21 @@ def test_urls(spark):
     assert {r.action for r in url_filter.filter_urls(spark, pages, rules.where("false")).collect()} == {"none"}
 
 
+def test_url_forms(spark):
+    """Hosts that are addresses, escapes, dots in paths, and very long URLs, against prefixes compared one by one."""
+    rules = url_filter.rule_table(spark, [("3.4", "/", "block"), ("10.0.3.4", "/in/", "block"), ("[::1]", "/", "block"), ("x.example.com", "/bad/", "block"), ("x.example.com", "/bad/a/b/c/d/e/", "allow"), ("example.org", "/q?a=~b", "block")])
+    deep = "/".join(f"f{i}" for i in range(100_000))
+    cases = {
+        "http://10.0.3.4/": "none", "http://10.0.3.4/in/x": "block", "http://[::1]:80/a": "block", "http://user@[::1]/": "block", "http://[::2]/": "none",
+        "http://x.example.com/%62ad/": "block", "http://x.example.com/b%61%64/x": "block", "http://x.example.com/a/../bad/x": "block", "http://x.example.com/./bad/./x": "block", "http://x.example.com/bad/..": "none",
+        "http://x.example.com/../../bad/": "block", "http://x.example.com/a%2Fbad/": "none", "http://x.example.com/%2e%2e/bad/": "block", "http://x.example.com/bad/a/b/c/d/e/f": "allow", "http://x.example.com/bad/%": "block",
+        "http://www.example.org/q?a=%7Eb": "block", "http://www.example.org/q?a=/../b": "none", f"http://x.example.com/bad/{deep}": "block", f"http://x.example.com/{deep}": "none", f"http://x.example.com/{'../' * 100_000}bad/": "block", "http://" + "a." * 100_000 + "x.example.com/bad/": "block",
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: r.action for r in url_filter.filter_urls(spark, pages, rules).select("page_id", "action").collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 # 3 toxicity
 
 
@@ -112,17 +128,54 @@ def test_grammar():
     assert score("You are an idiot.") == 1.0 and score("an idiot sat there") == 0.6
     assert score("you are not an idiot") < 0.2 and score("they said you are an idiot") == pytest.approx(0.3)
     assert score("I will kill you") == 1.0 and score("kill the process") == 0 and score("") == 0 and score("idiotic, eidiots") == 0
-    # the composed automaton equals running its parts
+    for text, want in {"The sun can burn your skin.": 0, "You can beat them at chess.": 0, "They hang their coats here.": 0, "I'm going to murder all of you": 1, "We won't ever kill you": 0.1, "Kill yourself": 1, "I will hurt you": 0.6, "Beat them at chess": 0.6, "They said I will kill you": 0.3, "you will kill i": 0}.items():
+        assert score(text) == pytest.approx(want), text
+    # in a text of many clauses some insults are fewer
+    assert score("an idiot. " * 2 + "a fine day. " * 1000) == pytest.approx(1.2 / (1002 / toxicity.CLAUSES))
+    # the composed automaton equals the definition
     rng = random.Random(3)
-    for _ in range(300):
-        symbols = [(rng.randrange(6), 1.0) for _ in range(rng.randrange(9))]
-        insults = threats = 0.0
-        for i, (s, w) in enumerate(symbols):
-            f = (0.1 if any(x == toxicity.NEGATION for x, _ in symbols[max(0, i - toxicity.REACH) : i]) else 1) * (0.3 if any(x == toxicity.REPORT for x, _ in symbols[:i]) else 1)
-            insults += w * f * (s == toxicity.INSULT)
-            threats += w * f * (s == toxicity.THREAT)
-        aimed = any(x == toxicity.TARGET for x, _ in symbols)
-        assert toxicity.clause_score(symbols) == pytest.approx(insults * (1 if aimed else 0.6) + threats * aimed)
+    for _ in range(2000):
+        symbols = [(rng.randrange(8), rng.choice([1.0, 0.6])) for _ in range(rng.randrange(12))]
+        left = [(0.1 if any(x == toxicity.NEGATION for x, _ in symbols[max(0, i - toxicity.REACH) : i]) else 1) * (0.3 if any(x == toxicity.REPORT for x, _ in symbols[:i]) else 1) for i in range(len(symbols))]
+        insults = sum(w * f for (s, w), f in zip(symbols, left) if s == toxicity.INSULT)
+        text = "".join("oiHTnrGp"[s] for s, _ in symbols)
+        verbs = [m.start("verb") for m in re.finditer(r"(?:^|G[^GH]{0,4})(?P<verb>H)[^GT]{0,2}T", text)]
+        # a verb is the last one that was weighed when its object comes
+        threats = sum(left[i] * [w for s, w in symbols[: text.index("T", i)] if s == toxicity.THREAT][-1] for i in verbs)
+        aimed = any(x in (toxicity.TARGET, toxicity.PERSON) for x, _ in symbols)
+        assert toxicity.clause_score(symbols) == pytest.approx(insults * (1 if aimed else 0.6) + threats), text
+
+
+def test_learned_lexicon(spark):
+    """Words that many toxic and few other documents have, as counted by hand."""
+    rng = random.Random(19)
+    rows, lab = [], []
+    for i in range(60):
+        words = [rng.choice(LOREM) + rng.choice(["", "s", "ing"]) for _ in range(25)]
+        if i % 2:
+            words[rng.randrange(12)] = "zorgle"
+            words[12 + rng.randrange(12)] = rng.choice(["snarkish", "snarkling"])
+        rows.append((i, " ".join(words), "en", "a"))
+        lab.append((i, 1, i % 2))
+    docs, labels = frame(spark, rows), spark.createDataFrame(lab, LABELS)
+    learned = toxicity.learn_lexicon(spark, docs, labels)
+    assert ("zorgle", False) in learned or any("zorgle".startswith(w) and stem for w, stem in learned)
+    contexts, clean = {}, Counter()
+    for i, text, *_ in rows:
+        words = text.split()
+        keys = [[(w, False), *((w[:n], True) for n in toxicity.STEMS if len(w) > n)] for w in words]
+        if i % 2:
+            for prior, w, ks in zip(["", *words], words, keys):
+                for k in ks:
+                    contexts.setdefault(k, set()).add((prior, w))
+        else:
+            clean.update({k for ks in keys for k in ks})
+    good = {k for k, c in contexts.items() if len(c) >= toxicity.MIN_CONTEXTS and clean[k] <= toxicity.MAX_CLEAN * len(c)}
+    stems = {w for w, stem in good if stem}
+    assert learned == sorted(k for k in good if not any(k[0][:n] in stems for n in toxicity.STEMS if n < len(k[0])))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark, docs, labels).collect()}
+    grammar = toxicity.Grammar(learned)
+    assert got == {i: pytest.approx(grammar.score(t)) for i, t, *_ in rows} and all(got[i] >= 1 for i in range(1, 60, 2)) and not any(got[i] for i in range(0, 60, 2))
 
 
 def test_quoted_speech():
