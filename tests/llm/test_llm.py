@@ -6,10 +6,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodegram.llm import bpe, licenses, line_dedup, minhash_dedup, mixing, neighbours, page_diff, perplexity, toxicity, url_filter
-from lodegram.llm.common import Words
+from lodegram.llm.common import Words, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, path string, n string, keep string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -473,7 +474,7 @@ def test_line_dedup(spark, odd, none):
     for a, b in combinations([k for k in range(len(at)) if hashes[k][1]], 2):
         (ha, sa, _), (hb, sb, _) = hashes[a][0], hashes[b][0]
         x, y = hashes[a][1], hashes[b][1]
-        if x == y or (np.bitwise_count(sa[0] ^ sb[0]) <= line_dedup.MAX_BITS and edit(x, y) <= math.floor(max(len(x), len(y)) * 0.1 + 1e-9)):
+        if x == y or (np.bitwise_count(sa[0] ^ sb[0]) <= 64 and edit(x, y) <= math.floor(max(len(x), len(y)) * 0.1 + 1e-9)):
             p, q = find(a), find(b)
             root[max(p, q)] = min(p, q)
     want = {}
@@ -525,6 +526,19 @@ def test_near_pairs(monkeypatch, many):
     assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())} == want
 
 
+def test_across():
+    """All pairs of lines in different groups of a key, but for those with the leader."""
+    rng = np.random.RandomState(20)
+    for n in (0, 1, 5, 400):
+        k, h = rng.randint(0, 12, n) ** 2 // 20, rng.permutation(1000)[:n].astype(np.int64)
+        root = h % 7
+        batch = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k, h, root)], ["k", "h", "root"])
+        got = [tuple(r.values()) for b in line_dedup._across(iter([batch])) for r in b.to_pylist()]
+        led = {key: min(h[k == key].tolist(), key=lambda x: int(mix(np.array([x], np.uint64))[0])) for key in set(k.tolist())}
+        want = {(min(a, b), max(a, b), min(a, b) % 7, max(a, b) % 7) for key in led for a, b in combinations(h[k == key].tolist(), 2) if a % 7 != b % 7 and led[key] not in (a, b)}
+        assert set(got) == want and len(got) == len(set(got)) or n > 5 and set(got) == want
+
+
 def test_line_dedup_near_copies(spark):
     """Without a bound on SimHashes: of pairs with the edit similarity, one in ten at most may stay."""
     rng = random.Random(14)
