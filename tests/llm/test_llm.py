@@ -527,16 +527,23 @@ def test_near_pairs(monkeypatch, many):
 
 
 def test_across():
-    """All pairs of lines in different groups of a key, but for those with the leader."""
+    """All pairs of lines in different groups of a key, of like lengths, but for those that were measured."""
     rng = np.random.RandomState(20)
+    names = ["k", "h", "l", "s", "length", "block", "root"]
     for n in (0, 1, 5, 400):
-        k, h = rng.randint(0, 12, n) ** 2 // 20, rng.permutation(1000)[:n].astype(np.int64)
-        root = h % 7
-        batch = pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (k, h, root)], ["k", "h", "root"])
-        got = [tuple(r.values()) for b in line_dedup._across(iter([batch])) for r in b.to_pylist()]
-        led = {key: min(h[k == key].tolist(), key=lambda x: int(mix(np.array([x], np.uint64))[0])) for key in set(k.tolist())}
-        want = {(min(a, b), max(a, b), min(a, b) % 7, max(a, b) % 7) for key in led for a, b in combinations(h[k == key].tolist(), 2) if a % 7 != b % 7 and led[key] not in (a, b)}
-        assert set(got) == want and len(got) == len(set(got)) or n > 5 and set(got) == want
+        h = rng.permutation(1000)[:n].astype(np.int64)
+        k, length, block = rng.randint(0, 12, n) ** 2 // 20, rng.randint(60, 70, n), rng.rand(n) < 0.5
+        k, l, s, root = k + 100 * block, rng.choice(h, n) if n else h, rng.randint(0, 64, n), h % 7
+        batch = pa.RecordBatch.from_arrays([pa.array(x if x is block else x.astype(np.int64)) for x in (k, h, l, s, length, block, root)], names)
+        got = {tuple(r.values()) for b in line_dedup._across(iter([batch])) for r in b.to_pylist()}
+        want = set()
+        for a, b in combinations(range(n), 2):
+            most = max(length[a], length[b])
+            near = not block[a] or bin(s[a] ^ s[b]).count("1") <= line_dedup.NEAR_BITS
+            if k[a] == k[b] and root[a] != root[b] and near and abs(length[a] - length[b]) <= most // 10 and l[a] != h[b] and l[b] != h[a]:
+                x, y = sorted((a, b), key=lambda i: h[i])
+                want.add(tuple(int(v) for v in (h[x], h[y], root[x], root[y])))
+        assert got == want
 
 
 def test_line_dedup_near_copies(spark):
