@@ -8,12 +8,17 @@ generations, the gram statistics and the list of files (with sizes and times) th
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections import OrderedDict
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -21,7 +26,7 @@ from pyspark.sql.types import StringType
 from lodegram.functions.grams import fold
 from lodegram.operators.postings import SHIFT, merge_lists, packed_chunks
 from lodegram.settings import settings
-from lodegram.sources.store import Store, count_rows, index_root, list_files, read_base
+from lodegram.sources.store import Store, count_rows, file_of, index_root, listing, quoted, read_base, row_of
 
 FORMAT = 1
 SEGMENTS = "gram string, segment_no long, postings array<bigint>, rowid_count long, min_rowid long, max_rowid long, generation int"
@@ -31,6 +36,22 @@ FILES = "file string, size long, mtime long, rows long, base long"
 #: all executors to give row ids; a larger one is joined by shuffle.
 SMALL_LIST = 64 << 20
 RID = "__lg_rid"
+#: Look-ups in so few files are made by the driver, which needs no job for them.
+LOCAL_FILES = 16
+#: Whole files of a state that are kept in memory: lists of files, and the first and last gram of posting files.
+KEPT = 64
+_kept: OrderedDict[str, object] = OrderedDict()
+
+
+def kept(key: str, make):
+    """What belongs to a file that never changes, made once."""
+    if key in _kept:
+        _kept.move_to_end(key)
+    else:
+        _kept[key] = make()
+        while len(_kept) > KEPT:
+            _kept.popitem(last=False)
+    return _kept[key]
 
 
 class IndexError_(ValueError):
@@ -78,8 +99,29 @@ class Index:
     def files(self) -> DataFrame:
         return self.spark.read.schema(FILES).parquet(f"{self.folder}/{self.meta.files}")
 
-    def single(self) -> bool:
-        return Store(self.spark).is_file(self.meta.path)
+    def lookup(self, folder: str, grams: list[str], columns: list[str]) -> pd.DataFrame | None:
+        """Rows of the grams in a folder of files sorted by gram, read by the driver; None if that is
+        more than LOCAL_FILES files, or they can't be read without Spark."""
+
+        def ranges():
+            path = f"{self.folder}/{folder}-ranges.json"
+            store = Store(self.spark)
+            return json.loads(store.read(path)) if store.exists(path) else None
+
+        spans = kept(f"{self.folder}/{folder}", ranges)
+        if spans is None:
+            return None
+        names = [f for f, lo, hi in spans if any(lo <= g <= hi for g in grams)]
+        if len(names) > LOCAL_FILES:
+            return None
+        if not names:
+            return pd.DataFrame({c: [] for c in columns})
+        try:
+            fs, base = pafs.FileSystem.from_uri(f"{self.folder}/{folder}")
+        except (pa.ArrowException, OSError, ImportError):
+            return None
+        found = pads.dataset([f"{base}/{x}" for x in names], filesystem=fs, format="parquet").to_table(columns=columns, filter=pads.field("gram").isin(grams))
+        return found.to_pandas()
 
     def state(self) -> tuple[str | None, pd.DataFrame]:
         """Why the postings can't be trusted at all (None if they can), and the current files: file, size,
@@ -87,8 +129,8 @@ class Index:
         reason = self.stale_reason()
         if reason:
             return reason, None
-        then = self.files().select("file", F.col("size").alias("size0"), F.col("mtime").alias("mtime0"), "rows", "base")
-        files = list_files(self.spark, self.meta.path).join(then, "file", "left").toPandas()
+        then = kept(f"{self.folder}/{self.meta.files}", lambda: self.files().select("file", F.col("size").alias("size0"), F.col("mtime").alias("mtime0"), "rows", "base").toPandas())
+        files = listing(self.spark, self.meta.path).files.merge(then, on="file", how="left")
         files["known"] = files["base"].notna()
         files["changed"] = files["known"] & ((files["size"] != files["size0"]) | (files["mtime"] != files["mtime0"]))
         return None, files.sort_values(["base", "mtime", "file"])
@@ -158,9 +200,28 @@ class Indexes:
         return found[0]
 
     def _publish(self, folder: str, meta: Meta) -> None:
+        """Make the state the index's, if the table is still what the work began with: its indexed files unchanged, and
+        no other index on the column, which another creator may have made meanwhile."""
+        index = Index(self.spark, folder, meta)
+        reason, files = index.state()
+        if reason is None and files["changed"].any():
+            reason = "an indexed file was changed"
+        if reason:
+            raise IndexError_(f"{reason} while the index was being written")
+        if meta.commit == 1:
+            name = f"{self.root}/names/{self._name(meta)}"
+            if self.store.exists(name) and self.store.read(name) not in {*self.ids(), meta.index_id}:
+                self.store.delete(name)  # its creator never came to an end
+            if not self.store.create(name, meta.index_id) and self.store.read(name) != meta.index_id:
+                raise IndexError_(f"an index on {meta.path} ({meta.column}) already exists")
         if not self.store.create(f"{folder}/commits/{meta.commit}.json", json.dumps(asdict(meta))):
             raise IndexError_("another writer changed the index; try again")
 
+    @staticmethod
+    def _name(meta: Meta) -> str:
+        """The file that stands for the one index that a column may have: its creator makes it, dropping removes it."""
+        return hashlib.sha256(json.dumps([meta.path, ascii_lower(meta.column)]).encode()).hexdigest()
+
     # building
 
     def create(self, path: str, column: str, gram: int = 3, case_insensitive: bool = True, shift: int = SHIFT) -> Index:
@@ -185,13 +246,21 @@ class Indexes:
         index_id = str(uuid.uuid4())
         meta = Meta(index_id, full, named[0].name, gram, case_insensitive, columns, -1, shift)
         index = Index(self.spark, f"{self.root}/{index_id}", meta)
-        files = self._with_bases(list_files(self.spark, full).toPandas(), base, 0)
+        files = self._with_bases(listing(self.spark, full).files, base, 0)
         index.meta = replace(meta, files=self._write_files(index, files), n_rows=int(files["rows"].sum()))
-        return self._add_generation(index, -1, index.meta.n_rows - 1, 0, files)
+        try:
+            return self._add_generation(index, -1, index.meta.n_rows - 1, 0, files)
+        except IndexError_:
+            self.store.delete(index.folder)
+            raise
 
     def _with_bases(self, files: pd.DataFrame, base: DataFrame, first: int) -> pd.DataFrame:
-        """Files that hold rows, each with the id of its first row, by time and name."""
-        files = files.merge(count_rows(self.spark, base).toPandas(), on="file").sort_values(["mtime", "file"])
+        """The files, each with the id of its first row, by time and name. A file that is read but isn't listed is an error:
+        its rows would be lost."""
+        counts = count_rows(base).toPandas()
+        if lost := set(counts["file"]) - set(files["file"]):
+            raise IndexError_(f"{sorted(lost)[0]} is read but not listed")
+        files = files.merge(counts, on="file", how="left").fillna({"rows": 0}).sort_values(["mtime", "file"])
         files["base"] = files["rows"].cumsum() - files["rows"] + first
         return files[["file", "size", "mtime", "rows", "base"]].astype({c: "int64" for c in ("size", "mtime", "rows", "base")})
 
@@ -206,8 +275,8 @@ class Indexes:
         names = wanted["file"].tolist()
         if not names:
             return read_base(self.spark, index.meta.path).where("false").withColumn(RID, F.lit(0).cast("long"))
-        base = read_base(self.spark, index.meta.path, names, index.single())
-        keyed = base.select("*", F.col("_metadata.file_path").alias("__lg_file"), F.col("_metadata.row_index").alias("__lg_row"))
+        base = read_base(self.spark, index.meta.path, names)
+        keyed = base.select("*", file_of(base).alias("__lg_file"), row_of(base).alias("__lg_row"))
         if len(names) == 1:
             keyed = keyed.withColumn("base", F.lit(int(wanted["base"].iloc[0])))
             return self._between(keyed, lo, hi)
@@ -226,7 +295,7 @@ class Indexes:
         meta = index.meta
         name = f"gen-{generation}-{uuid.uuid4().hex}"
         parts = f"{index.folder}/parts-{uuid.uuid4().hex}"
-        text = F.col(f"`{meta.column}`")
+        text = F.col(quoted(meta.column))
         texts = self.rows(index, files, lo, hi).select(F.col(RID).alias("rid"), (fold(text) if meta.case_insensitive else text).alias("t")).where("t is not null")
         packed_chunks(texts, meta.gram, meta.shift).write.parquet(parts)
         partials = self.spark.read.schema("gram string, segment_no long, postings array<bigint>").parquet(parts)
@@ -235,6 +304,7 @@ class Indexes:
         merged = merge_lists(ranged).withColumn("generation", F.lit(generation))
         merged.sortWithinPartitions("gram", "segment_no").write.option("parquet.writer.version", "PARQUET_2_0").parquet(f"{index.folder}/{name}")
         self.store.delete(parts)
+        self._write_ranges(index, name)
         new = self.spark.read.schema(SEGMENTS).parquet(f"{index.folder}/{name}")
         counts = new.groupBy("gram").agg(F.sum("rowid_count").alias("row_count"), F.count("*").alias("segment_count"))
         if meta.stats:
@@ -245,13 +315,33 @@ class Indexes:
         stats = self._write_stats(index, counts)
         meta = replace(meta, hwm=hi, generations=[*meta.generations, [name, generation]], stats=stats, commit=meta.commit + 1)
         self._publish(index.folder, meta)
+        self._sweep(index)
         return Index(self.spark, index.folder, meta)
 
     def _write_stats(self, index: Index, counts: DataFrame) -> str:
         name = f"stats-{uuid.uuid4().hex}"
         counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{index.folder}/{name}")
+        self._write_ranges(index, name)
         return name
 
+    def _write_ranges(self, index: Index, name: str) -> None:
+        """First and last gram of each file of a folder, in one small file next to it."""
+        rows = self.spark.read.schema("gram string").parquet(f"{index.folder}/{name}")
+        spans = rows.groupBy(file_of(rows).alias("file")).agg(F.min("gram").alias("lo"), F.max("gram").alias("hi")).collect()
+        self.store.create(f"{index.folder}/{name}-ranges.json", json.dumps([(r.file.rsplit("/", 1)[1], r.lo, r.hi) for r in spans]))
+
+    def _sweep(self, index: Index) -> None:
+        """Delete what neither this state nor the one before it names: a search that began on the one before
+        can end. Of two writers only the one that published sweeps."""
+        commits = sorted((int(x[:-5]) for x in self.store.names(f"{index.folder}/commits") if x.endswith(".json")), reverse=True)
+        named: set[str] = set()
+        for n in commits[:2]:
+            m = json.loads(self.store.read(f"{index.folder}/commits/{n}.json"))
+            named |= {m["stats"], m["files"], *(g for g, _ in m["generations"])}
+        for x in self.store.names(index.folder):
+            if x != "commits" and x.removesuffix("-ranges.json") not in named:
+                self.store.delete(f"{index.folder}/{x}")
+
     # maintenance
 
     def _current(self, index: Index) -> tuple[Index, pd.DataFrame]:
@@ -262,11 +352,11 @@ class Indexes:
             reason = "an indexed file was changed"
         if reason:
             raise IndexError_(f"{reason}: drop the index and create it again")
-        live = files[files["known"]][["file", "size", "mtime", "rows", "base"]]
+        live = files[files["known"]][["file", "size", "mtime", "rows", "base"]].astype({"rows": "int64", "base": "int64"})
         new = files[~files["known"]][["file", "size", "mtime"]]
         if not len(new):
             return index, live
-        added = self._with_bases(new, read_base(self.spark, index.meta.path, new["file"].tolist(), index.single()), index.meta.n_rows)
+        added = self._with_bases(new, read_base(self.spark, index.meta.path, new["file"].tolist()), index.meta.n_rows)
         every = pd.concat([index.files().toPandas(), added])
         meta = replace(index.meta, files=self._write_files(index, every), n_rows=index.meta.n_rows + int(added["rows"].sum()))
         return Index(self.spark, index.folder, meta), pd.concat([live, added])
@@ -294,18 +384,19 @@ class Indexes:
             if purge:
                 index, files = self._current(index)
                 meta = index.meta
-                text = F.col(f"`{meta.column}`")
-                live = self.rows(index, files, -1, meta.hwm).where(text.isNotNull()).select(F.col(RID).alias("rid"))
-                rids = lists.select("gram", "segment_no", F.explode("postings").alias("rid")).join(live, "rid", "left_semi")
-                lists = rids.groupBy("gram", "segment_no").agg(F.collect_list("rid").alias("postings"))
+                # files never change and null texts were never indexed: what lives are the row ids of the files that are there
+                alive = [(int(r.base), int(r.base + r.rows)) for r in files.sort_values("base").itertuples() if r.rows]
+                lists = lists.mapInArrow(living(alive), "gram string, segment_no long, postings array<bigint>")
             elif not index.segments().groupBy("gram", "segment_no").count().where("count > 1").limit(1).count():
                 if len(meta.generations) <= 1:
                     continue
             name = f"gen-0-{uuid.uuid4().hex}"
             merged = merge_lists(lists.repartitionByRange("gram", "segment_no")).withColumn("generation", F.lit(0))
             merged.sortWithinPartitions("gram", "segment_no").write.option("parquet.writer.version", "PARQUET_2_0").parquet(f"{index.folder}/{name}")
+            self._write_ranges(index, name)
             counts = self.spark.read.schema(SEGMENTS).parquet(f"{index.folder}/{name}").groupBy("gram").agg(F.sum("rowid_count").alias("row_count"), F.count("*").alias("segment_count"))
             self._publish(index.folder, replace(meta, generations=[[name, 0]], stats=self._write_stats(index, counts), commit=meta.commit + 1))
+            self._sweep(index)
 
     def drop(self, path: str, column: str) -> None:
         self.drop_by_id(self.find(path, column).meta.index_id)
@@ -317,7 +408,10 @@ class Indexes:
             raise IndexError_(f"no index {index_id}")
         if status[0][4] in ("MALFORMED", "MISSING_STORAGE"):
             raise IndexError_(f"index {index_id} is {status[0][4]}: {status[0][5]}")
+        name = f"{self.root}/names/{self._name(self.load(index_id).meta)}"
         self.store.delete(f"{self.root}/{index_id}")
+        if self.store.exists(name) and self.store.read(name) == index_id:
+            self.store.delete(name)
 
     # watching
 
@@ -366,7 +460,7 @@ class Indexes:
                 if files["changed"].any():
                     reason = "an indexed file was changed"
                 known, fresh = files[files["known"]], files[~files["known"]]["file"].tolist()
-                more = read_base(self.spark, m.path, fresh, index.single()).count() if fresh else 0
+                more = read_base(self.spark, m.path, fresh).count() if fresh else 0
                 last = int((known["base"] + known["rows"]).max()) - 1 if len(known) else -1
                 top = m.n_rows - 1 + more if more else last
                 tail = rows_between(known, m.hwm, 1 << 62) + more
@@ -379,6 +473,24 @@ class Indexes:
         return fs.getContentSummary(p).getLength()
 
 
+def living(alive: list[tuple[int, int]]):
+    """Lists without the row ids outside the ranges [first, end); empty ones go."""
+    firsts, ends = (np.array([r[k] for r in alive], np.int64) for k in (0, 1))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("postings")
+            rid = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            of = np.searchsorted(firsts, rid, "right") - 1
+            keep = (of >= 0) & (rid < ends[of]) if len(firsts) else np.zeros(len(rid), bool)
+            left = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+            new = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(left))).astype(np.int32)), pa.array(rid[keep]))
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("segment_no"), new], ["gram", "segment_no", "postings"]).filter(pa.array(left > 0))
+
+    return run
+
+
 def rows_between(files: pd.DataFrame, lo: int, hi: int) -> int:
     """Rows of the files whose ids are after lo and up to hi."""
     base, rows = files["base"].to_numpy(np.float64).astype(np.int64), files["rows"].to_numpy(np.float64).astype(np.int64)

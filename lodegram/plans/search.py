@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,13 @@ from lodegram.functions.grams import fold, needle_grams
 from lodegram.operators.postings import intersect
 from lodegram.plans.index import RID, Index, IndexError_, Indexes
 from lodegram.settings import settings
-from lodegram.sources.store import read_base
+from lodegram.sources.store import file_of, quoted, read_base, row_of
 
-#: Candidates up to so many are fetched by row number; of more only their files are known, which are then searched whole.
-FETCH = 10_000
-#: Files up to so many have their row numbers in the filter.
-FETCH_FILES = 64
+#: Candidates up to so many are fetched by row number, wherever they are; of more only the files that hold them are
+#: known, which are then searched whole.
+FETCH = 20_000
+#: Row ids up to so many are read and intersected by the driver, which needs no job for them.
+LOCAL_IDS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,7 @@ class Plan:
     bound: int = 0
     decoded: int = 0
     files: pd.DataFrame | None = None
+    kept: tuple[int, ...] = ()
 
     def mode(self) -> str:
         return f"full scan fallback: {self.reason}" if self.reason else f"index (<= {self.bound} candidates, {self.decoded} decoded rowids)"
@@ -53,79 +56,119 @@ def probe(index: Index, grams: list[str], dense: bool = True) -> Plan:
         return Plan("file guard: an indexed file was changed")
     if not grams:
         return Plan("needle shorter than gram size", files=files)
-    counts = {r.gram: r for r in index.stats().where(F.col("gram").isin(grams)).collect()}
-    if any(r.row_count is None or r.row_count < 1 for r in counts.values()):
+    if sum(256 + 4 * len(g) for g in grams) > s.max_probe_memory:
+        return Plan("the needle's grams exceed the probe's memory", files=files)
+    known = index.lookup(index.meta.stats, grams, ["gram", "row_count", "segment_count"])
+    known = known if known is not None else index.stats().where(F.col("gram").isin(grams)).toPandas()
+    if known["row_count"].isna().any() or (known["row_count"] < 1).any():
         raise IndexError_("the gram statistics are malformed")
+    counts = {r.gram: r for r in known.itertuples()}
     if len(counts) < len(grams):
         return Plan(None, tuple(g for g in grams if g not in counts)[:1], files=files)
     rare = sorted(grams, key=lambda g: counts[g].row_count)[: s.max_grams_per_query]
-    own = [F.sum(F.when(F.col("gram") == g, F.col("rowid_count"))).alias(f"n{i}") for i, g in enumerate(rare)]
-    per = index.segments().where(F.col("gram").isin(rare)).groupBy("segment_no").agg(*own, F.sum("rowid_count").alias("all"), F.count("*").alias("k"))
-    kept = F.col("n0").isNotNull()
-    for i in range(1, len(rare)):
-        kept = kept & F.col(f"n{i}").isNotNull()
-    least = F.least(*[F.col(f"n{i}") for i in range(len(rare))]) if len(rare) > 1 else F.col("n0")
-    one = per.agg(F.count(F.when(kept, 1)).alias("segments"), F.sum(F.when(kept, least)).alias("bound"), F.sum(F.when(kept, F.col("all"))).alias("decoded"), F.sum("all").alias("total"), F.sum("k").alias("k")).first()
-    if (one.total or 0) != sum(counts[g].row_count for g in rare) or (one.k or 0) != sum(counts[g].segment_count for g in rare):
+    lists = _manifest(index, rare)
+    if lists["rowid_count"].sum() != sum(counts[g].row_count for g in rare) or len(lists) != sum(counts[g].segment_count for g in rare):
         raise IndexError_("the postings don't agree with the gram statistics")
-    plan = Plan(None, tuple(rare), one.segments, one.bound or 0, one.decoded or 0, files)
+    own = lists.groupby(["segment_no", "gram"])["rowid_count"].sum().unstack()
+    own = own[own.notna().all(axis=1)] if own.shape[1] == len(rare) else own.iloc[:0]
+    plan = Plan(None, tuple(rare), len(own), int(own.min(axis=1).sum()), int(own.sum().sum()), files, tuple(own.index.tolist()))
     if plan.decoded > s.max_probe_rowids:
         return Plan("decoded-rowid work budget exceeded", files=files)
-    if dense:
-        if plan.bound > s.max_candidate_fraction * index.meta.n_rows:
-            return Plan("candidate fraction exceeded", files=files)
+    if dense and plan.bound > s.max_candidate_fraction * index.meta.n_rows:
+        return Plan("candidate fraction exceeded", files=files)
+    # a task holds a segment's lists and what they have in common
+    if len(own) and 8 * int((own.sum(axis=1) + own.min(axis=1)).max()) > s.max_probe_memory:
+        return Plan("a posting segment exceeds the probe's memory", files=files)
     return plan
 
 
+def _manifest(index: Index, grams: list[str]) -> pd.DataFrame:
+    """gram, segment_no, rowid_count of the grams' lists; no list is read."""
+    columns, parts = ["gram", "segment_no", "rowid_count"], []
+    for name, _ in index.meta.generations:
+        own = index.lookup(name, grams, columns)
+        if own is None:
+            return index.segments().where(F.col("gram").isin(grams)).select(columns).toPandas()
+        parts.append(own)
+    return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
+
+
 def _found(index: Index, plan: Plan) -> DataFrame | None:
-    """rid of the candidates; None if there is none."""
+    """rid of the candidates; None if there is none. Only segments that have all grams are read."""
+    if not plan.segments:
+        return None
+    lists = index.segments()
+    kept = index.spark.createDataFrame(pd.DataFrame({"segment_no": np.array(plan.kept, np.int64)}))
+    return intersect(lists.join(F.broadcast(kept), "segment_no", "left_semi"), list(plan.grams)).where(F.col("rid") <= index.meta.hwm)
+
+
+def _ids(index: Index, plan: Plan) -> np.ndarray | None:
+    """The candidates' row ids in order, where the driver can hold them; None if there are too many."""
     if not plan.segments:
+        return np.empty(0, np.int64)
+    if plan.decoded <= LOCAL_IDS:
+        parts = [index.lookup(name, list(plan.grams), ["gram", "segment_no", "postings"]) for name, _ in index.meta.generations]
+        if all(p is not None for p in parts):
+            lists = pd.concat(parts)
+            lists = lists[lists["segment_no"].isin(plan.kept)]
+            common = None
+            for g in plan.grams:
+                own = np.concatenate([np.empty(0, np.int64), *lists[lists["gram"] == g]["postings"]])
+                unique = np.unique(own)
+                if len(unique) != len(own):
+                    raise IndexError_("a posting list repeats a row id")
+                common = unique if common is None else np.intersect1d(common, unique, assume_unique=True)
+            return common[common <= index.meta.hwm]
+    if plan.bound > FETCH:
         return None
-    return intersect(index.segments(), list(plan.grams)).where(F.col("rid") <= index.meta.hwm)
+    return np.array(sorted(r.rid for r in _found(index, plan).collect()), np.int64)
 
 
 def pruned(index: Index, plan: Plan) -> DataFrame:
     """The table without the rows that can't match: candidates, and all that isn't indexed yet.
 
-    The filter by row number stands below any predicate that is put on top, so that the predicate is only
-    computed for candidates.
+    It is the table's own scan under a filter by file, and by row where that is known. The filter stands below any
+    predicate that is put on top, so that the predicate is only computed for candidates.
     """
-    spark, meta, single = index.spark, index.meta, index.single()
-    files = plan.files
-    parts = []
-    if fresh := files[~files["known"]]["file"].tolist():
-        parts.append(read_base(spark, meta.path, fresh, single))
+    meta, files = index.meta, plan.files
+    base = read_base(index.spark, meta.path)
+    file, row = file_of(base), row_of(base)
+    fresh = files[~files["known"]]["file"].tolist()
     known = files[files["known"]].astype({"base": "int64", "rows": "int64"})
     partly = known[known["base"] + known["rows"] - 1 > meta.hwm]
-    for r in partly.itertuples():
-        whole = read_base(spark, meta.path, [r.file], single)
-        parts.append(whole.where(F.col("_metadata.row_index") > meta.hwm - r.base) if r.base <= meta.hwm else whole)
-    rids = _found(index, plan)
-    if rids is not None and len(known):
+    whole, tests = [*fresh, *partly[partly["base"] > meta.hwm]["file"]], []
+    for r in partly[partly["base"] <= meta.hwm].itertuples():
+        tests.append((file == r.file) & (row > meta.hwm - r.base))
+    wanted = {*whole, *partly["file"]}
+    if len(known):
         firsts, ends = known["base"].to_numpy(), (known["base"] + known["rows"]).to_numpy()
-        names = known["file"].tolist()
-        if plan.bound <= FETCH:
-            have = np.array(sorted(r.rid for r in rids.collect()), np.int64)
-            of = np.searchsorted(firsts, have, "right") - 1
-            alive = (of >= 0) & (have < ends[of])
-            rows = {names[f]: (have[alive & (of == f)] - firsts[f]).tolist() for f in np.unique(of[alive]).tolist()}
+        names = known["file"].to_numpy(object)
+        ids = _ids(index, plan)
+        if ids is None:
+            of = np.array([r.f for r in _found(index, plan).mapInArrow(_files_of(firsts, ends), "f int").distinct().collect()], np.int64)
         else:
-            rows = {names[r.f]: None for r in rids.mapInArrow(_files_of(firsts, ends), "f int").distinct().collect()}
-        if rows:
-            base = read_base(spark, meta.path, list(rows), single)
-            if None not in rows.values() and len(rows) <= FETCH_FILES:
-                tests = [(F.col("_metadata.file_path") == f) & F.col("_metadata.row_index").isin(n) for f, n in rows.items()]
-                base = base.where(_any([F.col("_metadata.row_index").isin(*rows.values())] if len(rows) == 1 else tests))
-            hidden = {r.file: r.base for r in partly.itertuples() if r.base <= meta.hwm and r.file in rows}
-            for f, first in hidden.items():  # these rows are in the other part
-                base = base.where((F.col("_metadata.file_path") != f) | (F.col("_metadata.row_index") <= meta.hwm - first))
-            parts.insert(0, base)
-    if not parts:
-        return read_base(spark, meta.path).where("false")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+            of = np.searchsorted(firsts, ids, "right") - 1
+            alive = (of >= 0) & (ids < ends[of])
+            ids, of = ids[alive], of[alive]
+        own = names[np.unique(of)].tolist()
+        wanted |= {*own}
+        if ids is not None and len(ids) <= FETCH:
+            rows = (ids - firsts[of]).tolist()
+            if len(own) == 1:
+                tests.append((file == own[0]) & row.isin(rows))
+            elif own:
+                # a hash of both; another row that has it by chance is tested like any candidate
+                keys = spark_hashes(names[of].tolist(), rows)
+                tests.append(F.xxhash64(file, row).isin(keys))
+        else:
+            # in the files that aren't indexed to their ends, rows after the mark are wanted anyway
+            whole += own
+    if not wanted:
+        return base.where("false")
+    out = base.where(file.isin(sorted(wanted)))
+    if whole and tests:
+        tests.append(file.isin(whole))
+    return out.where(_any(tests)) if tests else out
 
 
 def _any(tests: list[Column]) -> Column:
@@ -135,6 +178,13 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
+def spark_hashes(files: list[str], rows: list[int]) -> list[int]:
+    """xxhash64(file, row) as Spark computes it: of the file's bytes, and of the row with that as its seed."""
+    seeds = {f: xxhash.xxh64_intdigest(f.encode(), 42) for f in set(files)}
+    found = [xxhash.xxh64_intdigest(r.to_bytes(8, "little"), seeds[f]) for f, r in zip(files, rows)]
+    return [x - (1 << 64) if x >> 63 else x for x in found]
+
+
 def _files_of(firsts: np.ndarray, ends: np.ndarray):
     """Numbers of the files that hold row ids."""
 
@@ -149,7 +199,7 @@ def _files_of(firsts: np.ndarray, ends: np.ndarray):
 
 def matches(index: Index, needle: str) -> Column:
     """The predicate that every result is tested with: the index's case rule; null text never matches."""
-    c = F.col(f"`{index.meta.column}`")
+    c = F.col(quoted(index.meta.column))
     return F.contains(fold(c), fold(F.lit(needle))) if index.meta.case_insensitive else F.contains(c, F.lit(needle))
 
 

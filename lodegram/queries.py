@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from lodegram.plans.index import Indexes
 from lodegram.plans.search import Search
 from lodegram.settings import PREFIX
 from lodegram.sources.store import Store, index_root
+from lodegram.streaming.refresh import append_and_refresh
 
 _built: dict[tuple, str] = {}
 
@@ -27,11 +29,26 @@ def _root(spark: SparkSession, tag: str) -> str:
     return f"{index_root(spark)}/{spark.sparkContext.applicationId}/{tag}"
 
 
+@contextlib.contextmanager
+def _settings(spark: SparkSession, **values):
+    """Settings for what is planned inside; then they are as before."""
+    before = {k: spark.conf.get(PREFIX + k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(PREFIX + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(PREFIX + k) if v is None else spark.conf.set(PREFIX + k, v)
+
+
+def _forced(spark: SparkSession):
+    """The limit on the share of candidates is lifted, so that the queries go through the index at any size."""
+    return _settings(spark, max_candidate_fraction="1.0", auto_accelerate="true")
+
+
 def _indexed(spark: SparkSession, path: str, column: str, gram: int = 3, case_insensitive: bool = True) -> str:
-    """A folder with an index on the column, built once in a session. The limit on the share of
-    candidates is lifted, so that the queries go through the index at any size."""
-    spark.conf.set(PREFIX + "max_candidate_fraction", "1.0")
-    spark.conf.set(PREFIX + "auto_accelerate", "true")
+    """A folder with an index on the column, built once in a session."""
     key = (spark.sparkContext.applicationId, path, column, gram, case_insensitive)
     if key not in _built or not Store(spark).exists(_built[key]):
         root = _root(spark, f"q{len(_built)}")
@@ -40,22 +57,32 @@ def _indexed(spark: SparkSession, path: str, column: str, gram: int = 3, case_in
     return _built[key]
 
 
-def _search(needle: str, table: str = "documents", column: str = "text", key: str = "doc_id", case_insensitive: bool = True, gram: int = 3):
+def _search(needle: str, table: str = "documents", column: str = "text", key: str | None = "doc_id", case_insensitive: bool = True, gram: int = 3, **limits: str):
+    """limits: settings of the gates; without any, the index is used."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{sf_dir}/{table}.parquet"
-        return Search(spark, _indexed(spark, path, column, gram, case_insensitive)).search(path, needle).select(key)
+        root = _indexed(spark, path, column, gram, case_insensitive)
+        with _settings(spark, **limits) if limits else _forced(spark):
+            found = Search(spark, root).search(path, needle)
+        return found.select(key) if key else found
 
     return run
 
 
+def _engine(spark: SparkSession, sf_dir: str) -> Accelerator:
+    path = f"{sf_dir}/documents.parquet"
+    engine = Accelerator(spark, _indexed(spark, path, "text"))
+    engine.register("documents", path)
+    _table(spark, sf_dir, "labels").createOrReplaceTempView("labels")
+    return engine
+
+
 def _sql(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = f"{sf_dir}/documents.parquet"
-        engine = Accelerator(spark, _indexed(spark, path, "text"))
-        engine.register("documents", path)
-        for name in ("labels",):
-            _table(spark, sf_dir, name).createOrReplaceTempView(name)
-        return engine.sql(text)
+        engine = _engine(spark, sf_dir)
+        with _forced(spark):
+            return engine.sql_search(text)
 
     return run
 
@@ -87,51 +114,59 @@ def segments_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidates_all_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     root = _indexed(spark, path, "text")
-    spark.conf.set(PREFIX + "max_grams_per_query", "1000")
-    try:
+    with _settings(spark, max_grams_per_query="1000"):
         found = Search(spark, root).candidates(path, "text", "license")
-    finally:
-        spark.conf.unset(PREFIX + "max_grams_per_query")
     rows = spark.read.parquet(path).select("doc_id", F.col("_metadata.row_index").alias("rid"))
     return rows.join(found, "rid").select("doc_id")
 
 
+def _copied(spark: SparkSession, sf_dir: str, tag: str) -> tuple[str, str]:
+    """Folders for a copy of documents, which is written, and for its index."""
+    n = len(Store(spark).names(_root(spark, tag)))
+    path = f"{_root(spark, tag)}/{n}/table"
+    _table(spark, sf_dir, "documents").repartition(4, "doc_id").write.mode("overwrite").parquet(path)
+    return path, f"{_root(spark, tag)}/{n}/index"
+
+
 def _grown(spark: SparkSession, sf_dir: str, tag: str) -> tuple[str, str]:
     """A copy of documents of which the odd half came after the index was built."""
-    root = _root(spark, f"{tag}-{len(Store(spark).names(_root(spark, tag)))}")
-    path = f"{root}/table"
+    n = len(Store(spark).names(_root(spark, tag)))
+    path, index = f"{_root(spark, tag)}/{n}/table", f"{_root(spark, tag)}/{n}/index"
     docs = _table(spark, sf_dir, "documents")
     docs.where("doc_id % 2 = 0").write.mode("overwrite").parquet(path)
-    spark.conf.set(PREFIX + "max_candidate_fraction", "1.0")
-    index = f"{_root(spark, tag)}/{len(Store(spark).names(_root(spark, tag)))}"
     Indexes(spark, index).create(path, "text")
     docs.where("doc_id % 2 <> 0").write.mode("append").parquet(path)
     return path, index
 
 
+def _found(spark: SparkSession, root: str, path: str) -> DataFrame:
+    with _forced(spark):
+        return Search(spark, root).search(path, "license").select("doc_id")
+
+
 def tail_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = _grown(spark, sf_dir, "tail")
-    return Search(spark, root).search(path, "license").select("doc_id")
+    return _found(spark, root, path)
 
 
 def refresh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = _grown(spark, sf_dir, "refresh")
     Indexes(spark, root).refresh(path)
-    return Search(spark, root).search(path, "license").select("doc_id")
+    return _found(spark, root, path)
 
 
 def compact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = _grown(spark, sf_dir, "compact")
     Indexes(spark, root).refresh(path, 1 << 40)
     Indexes(spark, root).compact(path)
-    return Search(spark, root).search(path, "license").select("doc_id")
+    return _found(spark, root, path)
 
 
 def purge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, root = _grown(spark, sf_dir, "purge")
     Indexes(spark, root).refresh(path)
     Indexes(spark, root).compact(path, purge=True)
-    return Search(spark, root).search(path, "license").select("doc_id")
+    return _found(spark, root, path)
 
 
 def refresh_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +174,60 @@ def refresh_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Indexes(spark, root).refresh(path, 1 << 40).select("rows_indexed", "remaining_tail")
 
 
+def refresh_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a tenth of the table until no tail is left."""
+    path, root = _grown(spark, sf_dir, "bounded")
+    step = max(1, _table(spark, sf_dir, "documents").count() // 10)
+    rows = []
+    while not rows or rows[-1][2]:
+        got = Indexes(spark, root).refresh(path, step).first()
+        rows.append((len(rows) + 1, got.rows_indexed, got.remaining_tail))
+    return spark.createDataFrame(rows, "step long, rows_indexed long, remaining_tail long")
+
+
+def search_no_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with names that don't tell what they are, and a folder that a scan doesn't enter."""
+    path, root = _copied(spark, sf_dir, "names")
+    _table(spark, sf_dir, "documents").write.mode("overwrite").parquet(f"{path}/nested")
+    fs, folder = Store(spark)._at(path)
+    for k, name in enumerate(x for x in Store(spark).names(path) if x.endswith(".parquet")):
+        fs.rename(Store(spark)._at(f"{path}/{name}")[1], Store(spark)._at(f"{path}/part {k} of 100%")[1])
+    Indexes(spark, root).create(path, "text")
+    return _found(spark, root, path)
+
+
+def drop_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, root = _copied(spark, sf_dir, "again")
+    Indexes(spark, root).create(path, "text")
+    Indexes(spark, root).drop(path, "text")
+    Indexes(spark, root).create(path, "text", 4)
+    return _found(spark, root, path)
+
+
+def stream_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are streamed into an indexed table."""
+    path, root = _copied(spark, sf_dir, "streamed")
+    Indexes(spark, root).create(path, "text")
+    source = f"{path}-source"
+    _table(spark, sf_dir, "documents").write.mode("overwrite").parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    append_and_refresh(spark, stream, path, f"{path}-checkpoint", root).awaitTermination()
+    return _found(spark, root, path)
+
+
+def _rewritten(change):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, root = _copied(spark, sf_dir, "rewritten")
+        Indexes(spark, root).create(path, "text")
+        with _forced(spark):
+            Accelerator(spark, root).rewrite(path, "text LIKE '%License%' AND lang = 'en'", change)
+        Indexes(spark, root).refresh(path)
+        with _forced(spark):
+            return Search(spark, root).search(path, "license").select("doc_id", "lang")
+
+    return run
+
+
 def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_orderkey").cast("long")).alias("rows"))
     coded = lists.select("o_custkey", encode_postings("rows").alias("blob"))
@@ -156,19 +245,16 @@ def pack_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_join_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    found = Search(spark, _indexed(spark, path, "text")).search(path, "license").select("doc_id", "lang")
+    found = _search("license", key=None)(spark, sf_dir).select("doc_id", "lang")
     return found.join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("good"))
 
 
 def search_agg_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    return Search(spark, _indexed(spark, path, "text")).search(path, "the").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return _search("the", key=None)(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/documents.parquet"
-    return Search(spark, _indexed(spark, path, "text")).search(path, "license").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
+    return _search("license", key=None)(spark, sf_dir).select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,10 +266,35 @@ def index_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Indexes(spark, _indexed(spark, f"{sf_dir}/documents.parquet", "text")).indexes()
 
 
+def index_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What index_stats() tells of the contents."""
+    return index_stats(spark, sf_dir).select("column_name", "gram_size", "hwm_rowid", "table_max_rowid", "remaining_tail", "distinct_grams", "fragmented_keys", "posting_entries", "generations")
+
+
 def explain_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     search = Search(spark, _indexed(spark, path, "text"))
-    return spark.createDataFrame([(n, search.explain(path, n)["mode"]) for n in ("license", "the", "er", "zzzz")], "needle string, mode string")
+    with _forced(spark):
+        return spark.createDataFrame([(n, search.explain(path, n)["mode"]) for n in ("license", "the", "er", "zzzz")], "needle string, mode string")
+
+
+_NEEDLES = ("license", "apache", "the", "er", "zzzz", "worthless")
+
+
+def explain_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which needles are probed under the default settings."""
+    path = f"{sf_dir}/documents.parquet"
+    search = Search(spark, _indexed(spark, path, "text"))
+    return spark.createDataFrame([(n, search.explain(path, n)["mode"].startswith("index")) for n in _NEEDLES], "needle string, probed boolean")
+
+
+def explain_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How accelerated queries read the table."""
+    engine, rows = _engine(spark, sf_dir), []
+    with _forced(spark):
+        for k in ("like", "like_subquery", "like_prefix", "like_in"):
+            rows += [(k, mode.startswith("index")) for _, mode, _ in engine.explain(_SQL[k])]
+    return spark.createDataFrame(rows, "query string, probed boolean")
 
 
 _CI = "SELECT doc_id FROM documents WHERE contains(lower(text), '{}')"
@@ -191,7 +302,14 @@ _SQL = {
     "like": "SELECT doc_id FROM documents WHERE text LIKE '%license%'",
     "like_multi": "SELECT doc_id FROM documents WHERE text LIKE '%lic%ense%'",
     "like_prefix": "SELECT doc_id FROM documents WHERE text LIKE 'The%'",
-    "like_one": "SELECT doc_id FROM documents WHERE text LIKE '%licens_ %'",
+    "like_one": "SELECT doc_id FROM documents WHERE text LIKE '%icense_ under%'",
+    "like_all": "SELECT * FROM documents WHERE text LIKE '%License%'",
+    "like_subquery": "SELECT count(*) AS n, (SELECT count(*) FROM documents) AS total FROM documents WHERE text LIKE '%License%'",
+    "like_subquery_where": "SELECT doc_id FROM documents WHERE text LIKE '%License%' AND n_chars > (SELECT avg(n_chars) FROM documents)",
+    "like_in": "SELECT doc_id FROM documents WHERE text LIKE '%License%' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "like_exists": "SELECT doc_id FROM documents d WHERE text LIKE '%License%' AND EXISTS (SELECT 1 FROM documents o WHERE o.source = d.source AND o.n_chars > d.n_chars)",
+    "like_not_in": "SELECT doc_id FROM documents WHERE text LIKE '%License%' AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 2000 AND doc_id IS NOT NULL)",
+    "like_union": "SELECT doc_id FROM documents WHERE text LIKE '%License%' UNION ALL SELECT doc_id FROM documents WHERE lang = 'fr'",
     "ilike": "SELECT doc_id FROM documents WHERE text ILIKE '%LICENSE%'",
     "like_and": "SELECT doc_id FROM documents WHERE text LIKE '%License%' AND lang = 'en'",
     "like_or": "SELECT doc_id FROM documents WHERE text LIKE '%License%' OR lang = 'fr'",
@@ -221,7 +339,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_pages": _search("license", "pages", "html", "page_id"),
     "search_conversations": _search("the", "conversations", "text", "conv_id"),
     "search_part": _search("ing", "part", "p_name", "p_partkey"),
-    "search_events": _search("page", "events", "props", "event_id"),
+    "search_events": _search('k": 7', "events", "props", "event_id"),
+    "search_all_columns": _search("license", key=None),
+    "search_work_gate": _search("license", max_probe_rowids="1"),
+    "search_memory_gate": _search("the", max_probe_memory="2000", max_candidate_fraction="1.0"),
+    "search_density_gate": _search("the", max_candidate_fraction="0.01"),
+    "search_no_suffix": search_no_suffix,
+    "drop_create": drop_create,
+    "stream_search": stream_search,
+    "refresh_bounded": refresh_bounded,
+    "delete_rows": _rewritten(lambda rows: rows.limit(0)),
+    "update_rows": _rewritten(lambda rows: rows.withColumn("lang", F.lit("xx"))),
+    "sql_search_rows": _sql("SELECT lang, count(*) AS n FROM search_rows('documents', 'license') GROUP BY lang"),
+    "sql_search_candidates": _sql("SELECT count(*) AS n FROM search_candidates('documents', 'text', '')"),
+    "like_alias": _sql("SELECT doc_id FROM (SELECT doc_id, rand() AS r, source AS text FROM documents) WHERE text LIKE '%src2%'"),
+    "index_figures": index_figures,
+    "explain_gates": explain_gates,
+    "explain_sql": explain_sql,
     "candidates_all_grams": candidates_all_grams,
     "search_join_labels": search_join_labels,
     "search_agg_lang": search_agg_lang,
@@ -251,9 +385,9 @@ ORACLES: dict[str, str] = {
     "grams_n4": _grams_sql(4, True),
     "gram_stats": f"SELECT gram, count(*) AS row_count FROM {_EACH} GROUP BY gram",
     "segments_summary": f"SELECT gram, count(*) AS row_count, true AS ordered FROM {_EACH} GROUP BY gram",
-    **{k: _CI.format("license") for k in ("search_ci", "search_ci_folds", "search_gram4", "tail_search", "refresh_search", "compact_search", "purge_search")},
+    **{k: _CI.format("license") for k in ("search_ci", "search_ci_folds", "search_gram4", "search_work_gate", "search_no_suffix", "drop_create", "tail_search", "refresh_search", "compact_search", "purge_search")},
     "search_cs": "SELECT doc_id FROM documents WHERE contains(text, 'License')",
-    "search_dense": _CI.format("the"),
+    **{k: _CI.format("the") for k in ("search_dense", "search_memory_gate", "search_density_gate")},
     "search_short": _CI.format("er"),
     "search_empty": "SELECT doc_id FROM documents WHERE text IS NOT NULL",
     "search_absent": _CI.format("zzzz"),
@@ -261,7 +395,28 @@ ORACLES: dict[str, str] = {
     "search_pages": "SELECT page_id FROM pages WHERE contains(lower(html), 'license')",
     "search_conversations": "SELECT conv_id FROM conversations WHERE contains(lower(text), 'the')",
     "search_part": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ing')",
-    "search_events": "SELECT event_id FROM events WHERE contains(lower(props), 'page')",
+    "search_events": "SELECT event_id FROM events WHERE contains(lower(props), 'k\": 7')",
+    "search_all_columns": "SELECT * FROM documents WHERE contains(lower(text), 'license')",
+    "stream_search": "SELECT doc_id FROM documents, range(2) WHERE contains(lower(text), 'license')",
+    "refresh_bounded": """
+WITH t AS (SELECT greatest(1, count(*) // 10) AS step, count(*) FILTER (doc_id % 2 <> 0) AS n FROM documents)
+SELECT i AS step, least(t.step, n - t.step * (i - 1)) AS rows_indexed, greatest(0, n - t.step * i) AS remaining_tail
+FROM t, LATERAL (SELECT unnest(range(1, greatest(1, CAST(ceil(n / t.step) AS BIGINT)) + 1)) AS i)""",
+    "delete_rows": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') AND NOT (contains(text, 'License') AND lang = 'en')",
+    "update_rows": "SELECT doc_id, CASE WHEN contains(text, 'License') AND lang = 'en' THEN 'xx' ELSE lang END AS lang FROM documents WHERE contains(lower(text), 'license')",
+    "sql_search_rows": "SELECT lang, count(*) AS n FROM documents WHERE contains(lower(text), 'license') GROUP BY lang",
+    "sql_search_candidates": "SELECT count(*) AS n FROM documents",
+    "like_alias": "SELECT doc_id FROM documents WHERE source LIKE '%src2%'",
+    "index_figures": f"""
+SELECT 'text' AS column_name, 3::INT AS gram_size, n - 1 AS hwm_rowid, n - 1 AS table_max_rowid, 0::BIGINT AS remaining_tail,
+       (SELECT count(DISTINCT gram) FROM {_EACH}) AS distinct_grams, 0::BIGINT AS fragmented_keys, (SELECT count(*) FROM {_EACH}) AS posting_entries, 1::INT AS generations
+FROM (SELECT count(*) AS n FROM documents)""",
+    "explain_gates": f"""
+WITH g AS (SELECT gram, count(*) AS n FROM {_EACH} GROUP BY gram),
+needles AS (SELECT unnest({list(_NEEDLES)}) AS needle),
+grams AS (SELECT DISTINCT needle, unnest(list_transform(range(1, length(needle) - 1), lambda i: substring(needle, i, 3))) AS gram FROM needles)
+SELECT needle, coalesce((SELECT min(coalesce(g.n, 0)) FROM grams LEFT JOIN g USING (gram) WHERE grams.needle = needles.needle) <= 0.01 * (SELECT count(*) FROM documents), false) AS probed FROM needles""",
+    "explain_sql": "SELECT * FROM (VALUES ('like', true), ('like_subquery', false), ('like_prefix', false), ('like_in', true)) t(query, probed)",
     "candidates_all_grams": f"SELECT doc_id FROM {_EACH} WHERE gram IN ('lic', 'ice', 'cen', 'ens', 'nse') GROUP BY doc_id HAVING count(*) = 5",
     "search_join_labels": "SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good FROM documents JOIN labels USING (doc_id) WHERE contains(lower(text), 'license') GROUP BY lang",
     "search_agg_lang": "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE contains(lower(text), 'the') GROUP BY lang",

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 PREFIX = "lodegram."
-DEFAULTS = {"auto_accelerate": "false", "max_candidate_fraction": "0.01", "max_grams_per_query": "3", "max_probe_rowids": "100000000", "build_partitions": "0"}
+DEFAULTS = {"auto_accelerate": "false", "max_candidate_fraction": "0.01", "max_grams_per_query": "3", "max_probe_rowids": "100000000", "max_probe_memory": str(256 << 20), "build_partitions": "0"}
 
 
 @dataclass(frozen=True)
@@ -17,6 +17,7 @@ class Settings:
     max_candidate_fraction: float
     max_grams_per_query: int
     max_probe_rowids: int
+    max_probe_memory: int
     build_partitions: int
 
 
@@ -25,11 +26,13 @@ def settings(spark: SparkSession) -> Settings:
     fraction = float(raw["max_candidate_fraction"])
     if math.isnan(fraction) or fraction < 0:
         raise ValueError("max_candidate_fraction must not be negative or NaN")
-    grams, rows, parts = (int(raw[k]) for k in ("max_grams_per_query", "max_probe_rowids", "build_partitions"))
+    grams, rows, memory, parts = (int(raw[k]) for k in ("max_grams_per_query", "max_probe_rowids", "max_probe_memory", "build_partitions"))
     if grams < 1:
         raise ValueError("max_grams_per_query must be at least 1")
     if rows < 1:
         raise ValueError("max_probe_rowids must be at least 1")
+    if memory < 1:
+        raise ValueError("max_probe_memory must be at least 1")
     if parts < 0:
         raise ValueError("build_partitions must not be negative")
-    return Settings(raw["auto_accelerate"].lower() == "true", fraction, grams, rows, parts)
+    return Settings(raw["auto_accelerate"].lower() == "true", fraction, grams, rows, memory, parts)

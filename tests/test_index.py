@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegram.plans.accelerate import Accelerator, like_parts
 from lodegram.plans.index import IndexError_, Indexes, bounded_end
-from lodegram.plans.search import Search, matches
+from lodegram.plans.search import Search, matches, spark_hashes
 from lodegram.settings import settings
 from lodegram.streaming.refresh import append_and_refresh, refresh_in_steps
 
@@ -249,3 +249,137 @@ def test_differential(spark, setup, tmp_path, size, ci, shift):
         at = rng.randrange(len(t) - size - 1)
         needle = t[at : at + size + rng.randrange(3)]
         assert ids(s.search(path, needle)) == ids(table.where(matches(s.indexes.find(path, "s"), needle)))
+
+
+@pytest.mark.parametrize("query", ["SELECT count(*), (SELECT count(*) FROM docs) FROM docs WHERE s LIKE '%tent%'", "SELECT id FROM docs WHERE s LIKE '%tent%' AND id > (SELECT avg(id) FROM docs)", "SELECT id FROM docs WHERE s LIKE '%tent%' AND id IN (SELECT max(id) FROM docs WHERE s LIKE '%row%')", "SELECT id, r FROM (SELECT id, rand() < 2 AS r, CAST(id AS STRING) || ' 1 2 3' AS s FROM docs) WHERE s LIKE '%1 2%'", "SELECT id FROM (SELECT id, concat(s, ' xyz') AS s FROM docs) WHERE s LIKE '%xyz%'", "SELECT count(*) FROM docs WHERE s LIKE '%tent%' AND rand(7) < 2", "WITH t AS (SELECT * FROM docs WHERE s LIKE '%tent%') SELECT a.id FROM t a JOIN t b ON a.id = b.id"])
+def test_accelerate_same_rows(spark, setup, query):
+    path, root = setup
+    Indexes(spark, root).create(path, "s")
+    add(path, TAIL, 11, "b")
+    engine = Accelerator(spark, root)
+    engine.register("docs", path)
+    assert sorted(map(tuple, engine.sql(query).collect())) == sorted(map(tuple, spark.sql(query).collect()))
+
+
+def test_any_file_names(spark, setup):
+    """Files of any name are searched; those that a scan doesn't read aren't."""
+    path, root = setup
+    add(path, TAIL, 11, "b")
+    add(f"{path}/nested", ["tent in a nested folder"], 90)
+    os.rename(f"{path}/a.parquet", f"{path}/part 0 of 100%")
+    os.rename(f"{path}/b.parquet", f"{path}/part-00001")
+    add(path, ["hidden tent"], 99, "_c")
+    Indexes(spark, root).create(path, "s")
+    s = Search(spark, root)
+    assert ids(s.search(path, "tent")) == ids(spark.read.parquet(path).where("s ILIKE '%tent%'")) == [5, 6, 8, 11]
+    add(path, ["one more tent"], 30, "d")
+    os.rename(f"{path}/d.parquet", f"{path}/d+e#f")
+    assert ids(s.search(path, "tent")) == [5, 6, 8, 11, 30]
+    assert Indexes(spark, root).refresh(path, 100).first().rows_indexed == 1
+    assert ids(s.search(path, "tent")) == [5, 6, 8, 11, 30]
+
+
+def test_odd_column_names(spark, setup, tmp_path):
+    _, root = setup
+    path = str(tmp_path / "names")
+    pq.write_table(pa.table({"_metadata": pa.array([1, 2, 3]), "a.b": pa.array(["x", "y", "z"]), "se`lect": pa.array(["a tent", None, "TENT"])}), path + ".parquet")
+    Indexes(spark, root).create(path + ".parquet", "se`lect")
+    assert sorted(r["_metadata"] for r in Search(spark, root).search(path + ".parquet", "tent").collect()) == [1, 3]
+    engine = Accelerator(spark, root)
+    engine.register("names", path + ".parquet")
+    engine.table_function("find_names", path + ".parquet", "se`lect")
+    assert spark.sql("SELECT `a.b` FROM find_names('Tent')").count() == 2
+
+
+def test_fetch_by_row(spark, setup, tmp_path):
+    """Candidates in many files, and in one that is only partly indexed."""
+    _, root = setup
+    path = str(tmp_path / "many")
+    for k in range(100):
+        add(path, [f"tent {k}" if i % 7 == k % 7 else f"row {i}" for i in range(20)], 20 * k, f"f{k:03}")
+    indexes, s = Indexes(spark, root), Search(spark, root)
+    indexes.create(path, "s")
+    add(path, [f"tent {i}" if i % 5 == 0 else "row" for i in range(100)], 5000, "g")
+    indexes.refresh(path, 50)
+    table = spark.read.parquet(path)
+    for needle in ("tent", "tent 7", "row 3", "tent 55", "tent 90"):
+        assert ids(s.search(path, needle)) == ids(table.where(F.contains("s", F.lit(needle)))), needle
+    files = ["file:///a b", "file:///é"]
+    rows = [(f, i) for f in files for i in (0, 5, 1 << 40)]
+    want = [r[0] for r in spark.createDataFrame(rows, "f string, i long").select(F.xxhash64("f", "i")).collect()]
+    assert spark_hashes([f for f, _ in rows], [i for _, i in rows]) == want
+
+
+def test_memory_gate(spark, setup):
+    path, root = setup
+    Indexes(spark, root).create(path, "s")
+    s = Search(spark, root)
+    for budget, reason in ((1, "grams exceed"), (600, "segment exceeds")):
+        spark.conf.set("lodegram.max_probe_memory", str(budget))
+        try:
+            assert (reason in s.explain(path, "tent")["mode"]) == (budget == 1) and ids(s.search(path, "tent")) == [5, 6, 8]
+            if budget == 1:
+                with pytest.raises(IndexError_, match=reason):
+                    s.candidates(path, "s", "tent")
+        finally:
+            spark.conf.unset("lodegram.max_probe_memory")
+    add(path + "2", ["dense tent"] * 200)
+    Indexes(spark, root).create(path + "2", "s")
+    spark.conf.set("lodegram.max_probe_memory", "2000")
+    try:
+        assert "segment exceeds" in s.explain(path + "2", "tent")["mode"] and s.search(path + "2", "tent").count() == 200
+    finally:
+        spark.conf.unset("lodegram.max_probe_memory")
+
+
+def test_creators_and_sweep(spark, setup):
+    """Of two creators of an index one fails; superseded files go, those of the last state but one stay."""
+    path, root = setup
+    indexes = Indexes(spark, root)
+    index = indexes.create(path, "s")
+    other = Indexes(spark, root)
+    other.of = lambda path: []  # it looked before the first one was there
+    with pytest.raises(IndexError_, match="already exists"):
+        other.create(path, "S")
+    assert len(indexes.ids()) == 1
+    for k in range(3):
+        add(path, TAIL, 20 + 3 * k, f"t{k}")
+        indexes.refresh(path)
+    indexes.compact(path)
+    names = indexes.store.names(index.folder)
+    assert sum(x.startswith("stats-") and not x.endswith("json") for x in names) <= 2 and ids(Search(spark, root).search(path, "tent")) == [5, 6, 8, 20, 23, 26]
+    indexes.drop(path, "s")
+    indexes.create(path, "s")
+    # a table that changes while its index is written gives none
+    stale = indexes.find(path, "s")
+    add(path, DOCS[:2], 0, "a")
+    with pytest.raises(IndexError_, match="while the index was being written"):
+        indexes._publish(stale.folder, stale.meta)
+
+
+def test_sql_surface(spark, setup):
+    path, root = setup
+    Indexes(spark, root).create(path, "s")
+    engine = Accelerator(spark, root)
+    engine.register("docs", path)
+    assert ids(engine.sql_search("SELECT id FROM search_rows('docs', 'TENT') WHERE id > 5")) == [6, 8]
+    assert engine.sql_search("SELECT rid FROM search_candidates('docs', 's', 'tent')").count() == 5
+    assert engine.sql_search("SELECT * FROM search_rows('docs', 'it''s')").count() == 0
+    [(name, mode, grams)] = engine.explain("SELECT * FROM docs WHERE s LIKE '%tent%'")
+    assert name == "docs" and mode.startswith("index") and grams
+    assert engine.explain("SELECT * FROM docs WHERE s LIKE 'tent%'")[0][1].endswith("no probeable needle")
+
+
+def test_rewrite(spark, setup):
+    path, root = setup
+    indexes = Indexes(spark, root)
+    indexes.create(path, "s")
+    add(path, TAIL, 11, "b")
+    engine = Accelerator(spark, root)
+    assert engine.rewrite(path, "s LIKE '%tent row%'", lambda rows: rows.withColumn("s", F.lit("no more"))) == 1
+    assert ids(Search(spark, root).search(path, "tent")) == [5, 6, 8] and spark.read.parquet(path).count() == 14
+    assert engine.rewrite(path, "s LIKE '%pitched%'", lambda rows: rows.limit(0)) == 1
+    indexes.refresh(path)
+    assert ids(Search(spark, root).search(path, "tent")) == [6, 8] and spark.read.parquet(path).count() == 13
+    assert ids(spark.read.parquet(path).where("s IS NULL")) == [2, 13]
+    assert engine.rewrite(path, "s LIKE '%nowhere%'", lambda rows: rows) == 0
