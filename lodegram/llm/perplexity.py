@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegram.llm.common import doc_groups, mapped, mix, new_path, saved
@@ -28,12 +29,19 @@ _ID[0x30:0x3A] = 0x30
 _ID[0] = 1  # 0 is the padding before a text
 
 
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+#: What pads texts, and what stands for it in texts that hold it.
+PAD, NO_PAD = "\U0010ffff", "\U0010fffe"
+#: From here on _ID shares its ids; a language that has more characters than that beyond gets ids of its own, of which the
+#: last are shared by its rarest characters and by unknown ones.
+SHARED, RARE = 3072, 3840
+
+
+def characters(texts: list[str], table: np.ndarray = _ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts' characters (digits alike, runs of white space as one space), each
-    text after ORDER - 1 paddings; and the place of each text's first padding."""
-    pad = "\U0010ffff" * (ORDER - 1)
-    cp = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ids = _ID[cp]
+    text after ORDER - 1 paddings; and the place of each text's first padding. table: ids by code point."""
+    pad = PAD * (ORDER - 1)
+    cp = np.frombuffer((pad + pad.join([t.replace(PAD, NO_PAD) for t in texts])).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ids = table[cp]
     ids[cp == 0x10FFFF] = 0
     keep = np.ones(len(ids), bool)
     keep[1:] = (ids[1:] != 32) | (ids[:-1] != 32)
@@ -42,6 +50,49 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.flatnonzero(start)
 
 
+def _points(batches):
+    """How often a language's texts have each code point."""
+    for batch in batches:
+        rows: dict[str | None, list[str]] = {}
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            rows.setdefault(lang, []).append(text)
+        for lang, texts in rows.items():
+            n = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "cp", "n"])
+
+
+def number_characters(texts: DataFrame, path: str) -> None:
+    """Write ids for the characters of languages that have some from SHARED on, by how often they occur: up to 4096 - SHARED of
+    those get one each; a language with more has its RARE - 1 most frequent characters, of all, numbered."""
+    wide = texts.where(F.col("text").rlike(rf"[\x{{{SHARED:x}}}-\x{{10ffff}}]"))
+    counts = saved(wide.transform(mapped, _points, "lang string, cp int, n long").groupBy("lang", "cp").agg(F.sum("n").alias("n")), "points")
+    kinds = counts.where(F.col("cp") >= SHARED).groupBy("lang").agg(F.count("*").alias("kinds"))
+    many = F.col("kinds") > 4096 - SHARED
+    own = counts.join(kinds, "lang").where(many | (F.col("cp") >= SHARED))
+    order = W.partitionBy("lang").orderBy(F.desc("n"), "cp")
+    rank = F.row_number().over(order)
+    # 0 is the padding and 32 the space
+    number = F.when(~many, rank + SHARED - 1).when(rank < 32, rank).when(rank < RARE - 1, rank + 1)
+    named = F.concat(F.lit("l-"), F.hex("lang")).alias("l")
+    own.select(named, "cp", number.alias("id"), many.alias("many")).where("id is not null").write.partitionBy("l").parquet(f"{path}/ids")
+
+
+def table_of(path: str, lang: str) -> np.ndarray:
+    """A language's ids by code point."""
+    fs, base = pafs.FileSystem.from_uri(path)
+    where = f"{base}/ids/l=l-{lang.encode().hex().upper()}"
+    if fs.get_file_info(where).type != pafs.FileType.Directory:
+        return _ID
+    t = pads.dataset(where, filesystem=fs, format="parquet").to_table()
+    table = _ID.copy()
+    if t.column("many")[0].as_py():
+        table = (RARE + np.arange(0x110000) % (4096 - RARE)).astype(np.uint16)
+    table[t.column("cp").to_numpy()] = t.column("id").to_numpy()
+    table[_ID == 32], table[0x30:0x3A] = 32, table[0x30]
+    return table
+
+
 def top_grams(ids: np.ndarray) -> np.ndarray:
     """Grams of ORDER characters that end at each place, from the place ORDER - 1 on."""
     wide = ids.astype(np.uint64)
@@ -61,15 +112,22 @@ def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return code[first], np.add.reduceat(n, first)
 
 
-def _counted(batches):
+def _counted(path: str):
+    return lambda batches: _counts(batches, path)
+
+
+def _counts(batches, path: str):
     """Counts of the top grams by language, added up within the task."""
+    tables: dict[str, np.ndarray] = {}
     kept: dict[str | None, tuple[list, list]] = {}
     for batch in batches:
         texts, langs = np.array(batch.column("text").to_pylist(), object), np.array(batch.column("lang").to_pylist(), object)
         for lang in dict.fromkeys(langs):
             own = [t for t, x in zip(texts, langs) if x == lang]
             for lo, hi in doc_groups(own):
-                ids, _ = characters(own[lo:hi])
+                if lang not in tables:
+                    tables[lang] = table_of(path, lang)
+                ids, _ = characters(own[lo:hi], tables[lang])
                 code = top_grams(ids)
                 code = np.sort(code[ids[ORDER - 1 :] != 0])
                 if len(code):
@@ -94,12 +152,13 @@ def train(spark: SparkSession, docs: DataFrame) -> str:
     below it (the padding is a character too). Each order has three discounts by language.
     """
     texts = docs.where("text is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    top = saved(texts.transform(mapped, _counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    path = new_path(spark, "model")
+    number_characters(texts, path)
+    top = saved(texts.transform(mapped, _counted(path), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     orders = {ORDER: top}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("code").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("code")
         orders[k] = saved(orders[k + 1].groupBy("lang", suffix).agg(F.count("*").alias("n")), "grams")
-    path = new_path(spark, "model")
     below = None
     for k in range(1, ORDER + 1):
         n = orders[k]
@@ -171,6 +230,7 @@ class Model:
             t = pads.dataset(where, filesystem=fs, format="parquet").to_table(columns=["code", "p"])
             return Hashed(t.column("code").to_numpy(), t.column("p").to_numpy())
 
+        self.table = table_of(path, lang)
         self.p = {k: load(f"p{k}") for k in range(1, ORDER + 1)}
         self.b = {k: load(f"b{k}") for k in range(1, ORDER + 1)}
 
@@ -193,7 +253,7 @@ class Model:
 
 def text_scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters, and mean negative log probability of one (NaN for none)."""
-    ids, start = characters(texts)
+    ids, start = characters(texts, model.table)
     code = top_grams(ids)
     real = ids[ORDER - 1 :] != 0
     lp = np.zeros(len(ids), np.float64)
