@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodegram.llm.common import doc_groups, mapped, mix, new_path, saved
 
 ORDER, BITS = 5, 12
-#: Width of the bands in median absolute deviations of log perplexity, and characters of a text
+#: Width of the bands in median deviations of log perplexity, each side's own, and characters of a text
 #: at which chance widens them by a factor of sqrt(2).
 ABOVE, BELOW, SHORT = 5.0, 5.0, 400.0
 
@@ -285,8 +285,9 @@ def perplexity(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     The model is counted on all texts of docs, each language on its own (a null lang is one too); repeated
     rows count as often as they occur. A language's band is around the median of log perplexity of all
-    its documents: ABOVE and BELOW median absolute deviations, wider for short texts, whose means vary
-    more: times sqrt(1 + SHORT / characters). Texts outside are rejected: 'low' for repetitive ones, 'high'
+    its documents: up to ABOVE times the median deviation of those above it, down to BELOW times that of those below it, wider
+    for short texts, whose means vary more: times sqrt(1 + SHORT / characters). A language with more than 1,024 different
+    characters from U+0C00 on has its most frequent ones numbered, the rarest share numbers; U+10FFFF counts as U+10FFFE. Texts outside are rejected: 'low' for repetitive ones, 'high'
     for ones unlike their language. A null or empty text has a null perplexity and is kept. Columns other
     than doc_id, lang and text aren't read.
     """
@@ -294,8 +295,9 @@ def perplexity(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
     scores = saved(docs.select("doc_id", "lang", "text").transform(mapped, _scored(path), f"doc_id {kinds['doc_id']}, lang string, n long, h double"), "scores")
     middle = scores.groupBy(F.col("lang").alias("l")).agg(F.percentile_approx("h", 0.5, 100_000).alias("m"))
-    off = scores.join(middle, F.col("lang").eqNullSafe(F.col("l"))).select("l", "m", F.abs(F.col("h") - F.col("m")).alias("off"))
-    bands = off.groupBy("l").agg(F.max("m").alias("m"), F.percentile_approx("off", 0.5, 100_000).alias("mad"))
-    reach = F.col("mad") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n", F.lit(1)))
-    verdict = F.when(F.col("h") > F.col("m") + ABOVE * reach, "high").when(F.col("h") < F.col("m") - BELOW * reach, "low").otherwise("keep")
+    off = scores.join(middle, F.col("lang").eqNullSafe(F.col("l"))).select("l", "m", (F.col("h") - F.col("m")).alias("off"))
+    half = lambda c: F.percentile_approx(F.when(c > 0, c), 0.5, 100_000)
+    bands = off.groupBy("l").agg(F.max("m").alias("m"), half(F.col("off")).alias("up"), half(-F.col("off")).alias("down"))
+    wider = F.sqrt(1 + F.lit(SHORT) / F.greatest("n", F.lit(1)))
+    verdict = F.when(F.col("h") > F.col("m") + ABOVE * F.col("up") * wider, "high").when(F.col("h") < F.col("m") - BELOW * F.col("down") * wider, "low").otherwise("keep")
     return scores.join(bands, F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "lang", F.col("n").alias("n_chars"), F.round(F.exp("h"), 4).alias("perplexity"), verdict.alias("verdict"))
