@@ -39,29 +39,34 @@ def encoded(enc: tiktoken.Encoding, text: str) -> np.ndarray:
     return np.frombuffer(enc._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32)
 
 
-def cut_marks(data: np.ndarray) -> np.ndarray:
-    """Positions after which the rolling hash of the last WINDOW bytes calls for a cut."""
+def rolling(data: np.ndarray) -> np.ndarray:
+    """At each byte the rolling hash of the last WINDOW bytes."""
     h = _GEAR[data]
     step = 1
     while step < WINDOW:
         h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         step *= 2
-    return np.flatnonzero((h & MASK) == 0) + 1
+    return h
 
 
-def chunks(marks: np.ndarray, begin: int, end: int) -> list[int]:
-    """Ends of the chunks of the text at begin to end, from all marks of its batch."""
-    out, at = [], begin
-    for m in marks[np.searchsorted(marks, begin + MIN_CHUNK) : np.searchsorted(marks, end)].tolist():
-        while m - at > MAX_CHUNK:
-            at += MAX_CHUNK
+def chunks(h: np.ndarray) -> list[int]:
+    """Ends of a text's chunks, all set by what is around them: where the rolling hash calls for a cut, and where there is none
+    for MAX_CHUNK bytes, at the least hash of those."""
+    out, at, end = [], 0, len(h)
+
+    def cut_until(stop: int) -> None:
+        nonlocal at
+        while stop - at > MAX_CHUNK:
+            part = h[at + MIN_CHUNK : at + MAX_CHUNK]
+            at += MAX_CHUNK - int(np.argmin(part[::-1]))  # the last of several
             out.append(at)
-        if m - at >= MIN_CHUNK:
+
+    for m in (np.flatnonzero((h & MASK) == 0) + 1).tolist():
+        cut_until(m)
+        if m - at >= MIN_CHUNK and m < end:
             out.append(m)
             at = m
-    while end - at > MAX_CHUNK:
-        at += MAX_CHUNK
-        out.append(at)
+    cut_until(end)
     if end > at:
         out.append(end)
     return out
@@ -78,16 +83,32 @@ def inside(chunk: np.ndarray) -> tuple[int, int]:
     return (int(safe[0]), int(safe[-1])) if len(safe) else (0, 0)
 
 
+def in_letters(chunk: bytes) -> tuple[int, int]:
+    """First and last place of whole characters in a chunk of letters alone; (0, 0) if it has other characters.
+
+    Such a chunk lies in one word of the tokenizer, whose tokens near the chunk's ends depend on what is around it.
+    """
+    lo, hi = 0, len(chunk)
+    while lo < hi and chunk[lo] & 0xC0 == 0x80:
+        lo += 1
+    back = hi - 1
+    while back > lo and chunk[back] & 0xC0 == 0x80:
+        back -= 1
+    if back >= lo and len(chunk) - back < (1 if chunk[back] < 0x80 else 2 if chunk[back] < 0xE0 else 3 if chunk[back] < 0xF0 else 4):
+        hi = back
+    return (lo, hi) if hi > lo and chunk[lo:hi].decode().isalpha() else (0, 0)
+
+
 def _chunked(batches):
     for batch in batches:
         texts, f, r = batch.column("text").to_pylist(), batch.column(FILE).to_numpy(), batch.column(ROW).to_numpy()
         rows = []
         for text, file, row in zip(texts, f.tolist(), r.tolist()):
             raw = text.encode()
-            data = np.frombuffer(raw, np.uint8)
             begin = 0
-            for end in chunks(cut_marks(data), 0, len(data)) if len(raw) >= MIN_CHUNK else []:
-                digest = xxhash.xxh3_128_intdigest(raw[begin:end])
+            # a short text is one chunk, which only other such texts share
+            for end in chunks(rolling(np.frombuffer(raw, np.uint8))) if len(raw) >= MIN_CHUNK else [len(raw)] * bool(raw):
+                digest = xxhash.xxh3_128_intdigest(raw[begin:end], int(len(raw) < MIN_CHUNK))
                 rows.append((file, row, begin, end, (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)))
                 begin = end
         for at in range(0, len(rows), 100_000):
@@ -102,28 +123,94 @@ def _dictionary(side_path: str, vocabulary: str):
             for p, table, a, b in side.rows(batch.column(FILE).to_numpy(), batch.column(ROW).to_numpy()):
                 raw = texts[p].as_py().encode()
                 for begin, end, h1, h2 in zip(*(table.column(c).slice(a, b - a).to_pylist() for c in ("begin", "end", "h1", "h2"))):
-                    lo, hi = inside(np.frombuffer(raw[begin:end], np.uint8))
-                    rows.append((h1, h2, lo, hi, encoded(enc, raw[begin + lo : begin + hi].decode()).astype("<u4").tobytes()))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["h1", "h2", "lo", "hi", "tokens"])
+                    chunk = raw[begin:end]
+                    lo, hi = (0, len(raw)) if len(raw) < MIN_CHUNK else inside(np.frombuffer(chunk, np.uint8))
+                    letters = hi <= lo
+                    if letters:
+                        lo, hi = in_letters(chunk)
+                        ids = np.array(enc._core_bpe.encode_single_piece(chunk[lo:hi]) if hi > lo else [], np.uint32)
+                    else:
+                        ids = encoded(enc, chunk[lo:hi].decode())
+                    rows.append((h1, h2, lo, hi, letters, ids.astype("<u4").tobytes()))
+            cols = list(zip(*rows)) or [()] * 6
+            types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["h1", "h2", "lo", "hi", "letters", "tokens"])
 
     return run
 
 
-def stitched(enc: tiktoken.Encoding, raw: bytes, parts: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """Tokens of raw, of which the parts (begin, end, tokens) are known: what lies between them is encoded anew.
+class _Apart(Exception):
+    """The tokens of a chunk agree with those around it nowhere."""
+
+
+def stitched(enc: tiktoken.Encoding, raw: bytes, parts: list[tuple[int, int, bool, bytes]]) -> np.ndarray:
+    """Tokens of raw, of which the parts (begin, end, in letters, tokens) are known: what lies between them is encoded anew.
 
-    The parts end at places that no token crosses, so the repaired joins agree exactly with
-    encoding the whole text.
+    Parts that aren't in letters end at places that no token crosses. Those in letters lie in one word: what is encoded anew
+    grows into them, token by token, until the tokens at the join agree, that is, are the tokens of their
+    bytes together. Tokens of a word of which that holds for all neighbours are those of the word, so the
+    result is that of encoding the whole text.
     """
+    try:
+        return _stitched(enc, raw, parts)
+    except _Apart:
+        return encoded(enc, raw.decode())
+
+
+def _stitched(enc: tiktoken.Encoding, raw: bytes, parts: list[tuple[int, int, bool, bytes]]) -> np.ndarray:
     out, at = [], 0
-    for begin, end, tokens in parts:
-        if begin > at:
-            out.append(encoded(enc, raw[at:begin].decode()))
-        out.append(np.frombuffer(tokens, "<u4"))
-        at = end
-    if at < len(raw):
-        out.append(encoded(enc, raw[at:].decode()))
+    ahead: tuple[np.ndarray, np.ndarray, int] | None = None  # a part in letters whose end isn't joined yet: tokens, their places, first
+
+    def agree(a: int, b: int) -> bool:
+        both = [int(a), int(b)]
+        return enc._core_bpe.encode_single_piece(enc._core_bpe.decode_bytes(both)) == both
+
+    def whole(place: int) -> bool:
+        return place == len(raw) or raw[place] & 0xC0 != 0x80
+
+    def between(end: int) -> np.ndarray:
+        """Tokens from the last part to end, after which the last part is out."""
+        nonlocal at, ahead
+        if ahead is None:
+            return encoded(enc, raw[at:end].decode())
+        ids, places, first = ahead
+        for last in range(len(ids), first, -1):
+            if whole(places[last]) and places[last] <= end:
+                new = encoded(enc, raw[places[last] : end].decode())
+                if len(new) and agree(ids[last - 1], new[0]) or places[last] == len(raw):
+                    out.append(ids[first:last])
+                    at, ahead = int(places[last]), None
+                    return new
+        raise _Apart
+
+    for begin, end, letters, tokens in parts:
+        ids = np.frombuffer(tokens, "<u4")
+        if not letters:
+            if begin > at or ahead is not None:
+                out.append(between(begin))
+            out.append(ids)
+            at = end
+            continue
+        places = begin + np.concatenate(([0], np.cumsum([len(enc._core_bpe.decode_bytes([int(x)])) for x in ids])))
+        before = None  # the token before what is encoded anew
+        for first in range(1, len(ids)):
+            if not whole(places[first]):
+                continue
+            if before is None:
+                joined = ahead is not None
+                new = between(int(places[first]))
+                before = int(out[-1][-1]) if joined else -1
+            else:
+                new = encoded(enc, raw[at : places[first]].decode())
+            if len(new) and agree(new[-1], ids[first]) and (before < 0 or agree(before, new[0])):
+                out.append(new)
+                at, ahead = int(places[first]), (ids, places, first)
+                break
+        else:
+            if before is not None and before >= 0:
+                raise _Apart
+    if at < len(raw) or ahead is not None:
+        out.append(between(len(raw)))
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
@@ -134,7 +221,7 @@ def _assembled(side_path: str, vocabulary: str):
             texts = batch.column("text").to_pylist()
             known = {}
             for p, table, a, b in side.rows(batch.column(FILE).to_numpy(), batch.column(ROW).to_numpy()):
-                known[p] = sorted(zip(*(table.column(c).slice(a, b - a).to_pylist() for c in ("begin", "end", "tokens"))))
+                known[p] = sorted(zip(*(table.column(c).slice(a, b - a).to_pylist() for c in ("begin", "end", "letters", "tokens"))))
             ids = [None if t is None else stitched(enc, t.encode(), known[i]) if i in known else encoded(enc, t) for i, t in enumerate(texts)]
             back = [None if t is None else enc._core_bpe.decode_bytes(x.tolist()) == t.encode() for t, x in zip(texts, ids)]
             sizes = np.array([0 if x is None else len(x) for x in ids], np.int32)
@@ -152,8 +239,9 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -
 
     Texts are cut into chunks where a rolling hash of their bytes says so. A chunk that occurs more
     than once, in any texts, is encoded once; its tokens are used wherever it occurs, and the joins are
-    encoded anew between the nearest places that no token crosses. All other text is encoded where it
-    is. The tokens are those of encoding each whole text. A null text has null tokens, 0 n_tokens and
+    encoded anew between the nearest places that no token crosses, or, in chunks of letters alone, until the tokens at
+    both ends agree. A text below MIN_CHUNK bytes is one chunk. All other text is encoded where it is. The
+    vocabulary's file must be at its path on every executor. The tokens are those of encoding each whole text. A null text has null tokens, 0 n_tokens and
     null exact; an empty one an empty list; repeated rows have the same tokens. Other columns aren't read.
     """
     keyed = with_row_key(docs, ["doc_id", "text"])
@@ -161,8 +249,8 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -
     found = saved(found, "chunks")
     shared = saved(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(FILE, ROW, "begin", "end")).alias("own")).where("n > 1"), "shared")
     owners = shared.select("own.*", "h1", "h2")
-    once = saved(keyed.select("text", FILE, ROW).transform(mapped, _dictionary(write_side(owners, "owners", docs), vocabulary), "h1 long, h2 long, lo long, hi long, tokens binary"), "dictionary")
-    uses = found.join(once.where("hi > lo"), ["h1", "h2"]).select(FILE, ROW, (F.col("begin") + F.col("lo")).alias("begin"), (F.col("begin") + F.col("hi")).alias("end"), "tokens")
+    once = saved(keyed.select("text", FILE, ROW).transform(mapped, _dictionary(write_side(owners, "owners", docs), vocabulary), "h1 long, h2 long, lo long, hi long, letters boolean, tokens binary"), "dictionary")
+    uses = found.join(once.where("hi > lo"), ["h1", "h2"]).select(FILE, ROW, (F.col("begin") + F.col("lo")).alias("begin"), (F.col("begin") + F.col("hi")).alias("end"), "letters", "tokens")
     kind = dict(docs.dtypes)["doc_id"]
     return keyed.transform(mapped, _assembled(write_side(uses, "uses", docs), vocabulary), f"doc_id {kind}, tokens array<int>, n_tokens int, exact boolean")
 

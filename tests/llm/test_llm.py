@@ -92,6 +92,22 @@ def test_perplexity_bands_and_probabilities(spark):
     assert np.allclose(model.log_p(code), [math.log(p(g)) for g in some], atol=1e-4)
 
 
+def test_perplexity_characters(spark):
+    """The padding's own character, and languages with more characters than there are shared ids."""
+    rng = random.Random(22)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    rows = [(i, "".join(rng.choice(han) for _ in range(200)), "zh", "a") for i in range(30)] + [(50 + i, prose(rng, 30) + " \u201cquoted\u201d", "en", "a") for i in range(20)] + [(90, "a\U0010ffffb \U0010ffff", "en", "a"), (91, "\U0010ffff", None, "a")]
+    docs = frame(spark, rows)
+    assert perplexity.perplexity(spark, docs).count() == len(rows)
+    path = perplexity.train(spark, docs)
+    zh, en = perplexity.table_of(path, "zh"), perplexity.table_of(path, "en")
+    used = {c for _, t, lang, _ in rows if lang == "zh" for c in t}
+    assert len({int(zh[ord(c)]) for c in used}) == len(used) > 2500 and zh[32] == 32 and 0 not in zh[1:] and zh.max() < 4096
+    assert en[ord("a")] == perplexity._ID[ord("a")] and en[0x201C] != en[0x201D] and en[0x201C] >= 3072
+    ids, start = perplexity.characters(["a\U0010ffffb", "c"])
+    assert len(start) == 2 and (ids == 0).sum() == 8
+
+
 # 2 URL filters
 
 
@@ -437,6 +453,33 @@ def test_bpe(spark, odd, none):
     assert bpe.encode(spark, none).count() == 0
 
 
+def test_bpe_letters(spark):
+    """Chunks without white space, Chinese or not, are used again, and short texts; all is as encoding whole texts."""
+    enc = bpe.encoding(bpe.VOCABULARY)
+    rng = random.Random(21)
+    for letters in ([chr(0x4E00 + i) for i in range(300)], list("abcdefghij"), list("äöüßéñ") + list("abc")):
+        shared = "".join(rng.choice(letters) for _ in range(6000))
+        texts = [a + shared + b for a in ("", "x", "'t", "日", "1 ", "a b", "'") for b in ("", "s", "'s", "語", " c", "...")]
+        for t in texts:
+            raw = t.encode()
+            ends = bpe.chunks(bpe.rolling(np.frombuffer(raw, np.uint8)))
+            assert ends[-1] == len(raw) and all(0 < b - a <= bpe.MAX_CHUNK for a, b in zip([0, *ends], ends))
+            parts = []
+            for begin, end in zip([0, *ends], ends):
+                lo, hi = bpe.in_letters(raw[begin:end])
+                if hi > lo:
+                    ids = enc._core_bpe.encode_single_piece(raw[begin + lo : begin + hi])
+                    parts.append((begin + lo, begin + hi, True, np.array(ids, "<u4").tobytes()))
+            assert parts and bpe.stitched(enc, raw, parts).tolist() == enc.encode_ordinary(t)
+    texts = ["short text"] * 3 + [shared + "x", "y" + shared, "q" * 50_000, "q" * 50_001]
+    got = {r.doc_id: r for r in bpe.encode(spark, frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert all(list(got[i].tokens) == enc.encode_ordinary(t) and got[i].exact for i, t in enumerate(texts))
+    # cuts follow the content: what is before it doesn't move them
+    data = rng.randbytes(100_000)
+    one, two = (bpe.chunks(bpe.rolling(np.frombuffer(x, np.uint8))) for x in (data, b"abc" + data))
+    assert len({e + 3 for e in one} & {*two}) >= 0.9 * len(one)
+
+
 # 10 line dedup
 
 
