@@ -59,7 +59,12 @@ def _windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, list[
             code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
         code = (code << np.uint64(21)) | flat[k : k + n].astype(np.uint64)
     at = np.flatnonzero(inside)
-    _, first, number = np.unique(code[at], return_index=True, return_inverse=True)
+    code = code[at]
+    order = np.argsort(code)  # not a stable one, which is far slower
+    sorted_ = code[order]
+    new = np.concatenate((np.ones(min(len(at), 1), bool), sorted_[1:] != sorted_[:-1]))
+    first, number = order[new], np.empty(len(at), np.int64)
+    number[order] = np.cumsum(new) - 1
     names = [flat[i : i + size].tobytes().decode("utf-32-le", "surrogatepass") for i in at[first].tolist()]
     return number, owner[at], names
 
@@ -68,14 +73,12 @@ def _packed_chunks(size: int, shift: int):
     def emit(texts: list[str], rids: np.ndarray):
         for segment in np.unique(rids >> shift).tolist():
             own = np.flatnonzero(rids >> shift == segment)
+            own = own[np.argsort(rids[own], kind="stable")]
             number, row, names = _windows([texts[i] for i in own], size)
             if not names:
                 continue
-            rid = rids[own][row]
-            order = np.lexsort((rid, number))
-            number, rid = number[order], rid[order]
-            new = np.concatenate(([True], (number[1:] != number[:-1]) | (rid[1:] != rid[:-1])))
-            number, rid = number[new], rid[new]
+            both = np.unique((number << 32) | row)
+            number, rid = both >> 32, rids[own][both & 0xFFFFFFFF]
             first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rid)).astype(np.int32)), pa.array(rid))
             grams = pa.array(names, pa.string())

@@ -102,3 +102,28 @@ def test_chunks_equal_pack(spark):
     got = merge_lists(packed_chunks(df, 3, 6)).collect()
     slow = df.select("rid", F.explode(F.array_distinct(grams(fold("t"), 3))).alias("gram")).withColumn("segment_no", F.shiftright("rid", 6))
     assert sorted((r.gram, r.segment_no, list(r.postings)) for r in got) == sorted((r.gram, r.segment_no, list(r.postings)) for r in pack(slow).collect())
+
+
+def test_many_lists_at_once():
+    """The same bytes, lists and errors as one by one."""
+    import random
+
+    import numpy as np
+    import pytest
+
+    from lodegram.functions.codec import decode_list, decode_lists, encode_list, encode_lists
+
+    rng = random.Random(1)
+    lists = [None, [], [0], [5, 1, 5, 9, 1], [0, 127, 128, 16383, 16384, 1 << 62], [(1 << 63) - 1]]
+    lists += [[rng.randrange(1 << rng.randrange(1, 63)) for _ in range(rng.randrange(40))] for _ in range(200)]
+    blobs = [encode_list(x) for x in lists]
+    assert encode_lists([None if x is None else np.array(x, np.int64) for x in lists]) == blobs
+    assert [None if x is None else x.tolist() for x in decode_lists(blobs)] == [decode_list(b) for b in blobs]
+    small = [b for b in blobs if b is not None and len(b) < 12 and max(decode_list(b), default=0) < 1 << 40]
+    assert [x.tolist() for x in decode_lists(small)] == [decode_list(b) for b in small] and decode_lists([]) == encode_lists([]) == []
+    for bad in (b"", b"\x02\x00", b"\x01", b"\x01\x01", b"\x01\x02\x05\x00", b"\x01\x01\x80\x00", b"\x01\x01\x05\x05", b"\x01\x01" + b"\xff" * 9 + b"\x7f"):
+        with pytest.raises(ValueError):
+            decode_lists([encode_list([1, 2]), bad])
+    for bad in ([-1], [1, None]):
+        with pytest.raises(ValueError):
+            encode_lists([np.array([1]), np.array(bad)])
