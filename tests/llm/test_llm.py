@@ -575,14 +575,15 @@ def test_across():
     names = ["k", "h", "l", "s", "length", "block", "root"]
     for n in (0, 1, 5, 400):
         h = rng.permutation(1000)[:n].astype(np.int64)
-        k, length, block = rng.randint(0, 12, n) ** 2 // 20, rng.randint(60, 70, n), rng.rand(n) < 0.5
-        k, l, s, root = k + 100 * block, rng.choice(h, n) if n else h, rng.randint(0, 64, n), h % 7
+        k, length, block = rng.randint(0, 12, n) ** 2 // 20, rng.randint(75, 85, n), rng.rand(n) < 0.5
+        k, l, s, root = k + 100 * block, rng.choice(h, n) if n else h, rng.randint(0, 1 << 40, n) * (rng.rand(n) < 0.5), h % 7
         batch = pa.RecordBatch.from_arrays([pa.array(x if x is block else x.astype(np.int64)) for x in (k, h, l, s, length, block, root)], names)
         got = {tuple(r.values()) for b in line_dedup._across(iter([batch])) for r in b.to_pylist()}
         want = set()
         for a, b in combinations(range(n), 2):
             most = max(length[a], length[b])
-            near = not block[a] or bin(s[a] ^ s[b]).count("1") <= line_dedup.NEAR_BITS
+            bits = bin(s[a] ^ s[b]).count("1")
+            near = bits <= line_dedup.NEAR_BITS if block[a] else bits <= line_dedup.MAX_BITS or most < line_dedup.LONG
             if k[a] == k[b] and root[a] != root[b] and near and abs(length[a] - length[b]) <= most // 10 and l[a] != h[b] and l[b] != h[a]:
                 x, y = sorted((a, b), key=lambda i: h[i])
                 want.add(tuple(int(v) for v in (h[x], h[y], root[x], root[y])))
