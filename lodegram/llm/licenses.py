@@ -18,33 +18,73 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
         "This project is available under the Apache 2.0 license.",
+        "Unless required by applicable law or agreed to in writing, it is distributed without warranties.",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "This software is distributed under the terms of the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "The above copyright notice and this permission notice shall be included in all copies.",
+        "SPDX-License-Identifier: MIT",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License.",
         "Distributed under the GNU GPL version 2 or later.",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
         "Distributed under the GNU LGPL version 2.1 or later.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "Redistributions of source code must retain the above copyright notice and this list of conditions.",
+        "Redistributions in binary form must reproduce the above copyright notice in the documentation.",
+        "Neither the name of the copyright holder nor the names of its contributors may endorse products.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "mpl": [
+        "This source code is subject to the terms of the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
-    "mpl": ["This source code is subject to the terms of the Mozilla Public License, version 2.0."],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ],
+    "agpl": [
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "Distributed under the GNU AGPL version 3 or later.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, version 1.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and distribute this software for any purpose is hereby granted.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
     ],
     "proprietary": [
         "All rights reserved.",
@@ -88,6 +128,7 @@ CONTAINED, PRECISION = 0.6, 0.995
 WINDOWS = (24, 48)
 STOP = frozenset("a an and any are at by for from in is it its may not of on or the this to under with you your can be all no".split())
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 def words(text: str) -> list[str]:
@@ -96,11 +137,38 @@ def words(text: str) -> list[str]:
 
 def features(tokens: list[str]) -> np.ndarray:
     """Hashed words and pairs of words; numbers alike."""
-    t = ["#" if w[0].isdigit() else w for w in tokens]
+    t = ["#" if w[0].isdigit() else _DIGITS.sub("#", w) for w in tokens]
     grams = {*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))}
     return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int64, len(grams))
 
 
+def content(tokens: list[str]) -> set[str]:
+    """The words that tell something, numbers in them alike."""
+    return {_DIGITS.sub("#", w) for w in tokens if w not in STOP and not w[0].isdigit()}
+
+
+class Sparse:
+    """Rows of a few columns each, all of a row's entries alike: sums by column or row without a dense matrix."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.n = np.array([len(r) for r in rows])
+        self.first = np.cumsum(self.n) - self.n
+        self.cols = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.rows = np.repeat(np.arange(len(rows)), self.n)
+        self.value = (1 / np.sqrt(np.maximum(self.n, 1)))[self.rows]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.n), w.shape[1]))
+        full = self.n > 0
+        if full.any():
+            out[full] = np.add.reduceat(w[self.cols] * self.value[:, None], self.first[full])
+        return out
+
+    def transposed_times(self, d: np.ndarray, columns: int) -> np.ndarray:
+        part = d[self.rows] * self.value[:, None]
+        return np.stack([np.bincount(self.cols, part[:, k], columns) for k in range(d.shape[1])], 1)
+
+
 def variant(rng: np.random.RandomState, text: str) -> str:
     """A paragraph with words left out, numbers changed, or other words around it."""
     t = text.split()
@@ -134,32 +202,30 @@ class Classifier:
         self.column[used] = np.arange(len(used))
         m, mv = self.matrix(x), self.matrix(xv)
         k = len(self.families)
-        self.w, self.b = np.zeros((m.shape[1], k)), np.zeros(k)
+        self.w, self.b = np.zeros((len(used), k)), np.zeros(k)
         self.b[-1] = 1.0  # a paragraph without a known n-gram is of no family
         goal = np.eye(k)[y]
         for _ in range(ROUNDS):
-            off = self.soft(m @ self.w + self.b) - goal
-            self.w -= 2.0 * (m.T @ off / len(y) + 1e-4 * self.w)
+            off = self.soft(m.times(self.w) + self.b) - goal
+            self.w -= 4.0 * (m.transposed_times(off, len(used)) / len(y) + 1e-4 * self.w)
             self.b[:-1] -= 0.5 * off.mean(0)[:-1]
         # calibration on held-out variants: a temperature for the probabilities, then the least probability
-        z = mv @ self.w + self.b
+        z = mv.times(self.w) + self.b
         self.heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=lambda t: -np.log(self.soft(z / t)[np.arange(len(yv)), yv] + 1e-12).mean())
         p = self.soft(z / self.heat)
         best, top = p.argmax(1), p.max(1)
         claims = best != k - 1
         self.least = next((c for c in np.arange(0.3, 1.0, 0.01) if (right := (best == yv)[claims & (top >= c)]).size and right.mean() >= PRECISION), 0.99)
-        self.content = [(f, t, {w for w in words(t) if w not in STOP and not w[0].isdigit()}) for f, ts in TEMPLATES.items() for t in ts]
-        common = {"mit", "version", "file", "files", "works", "person", "source", "use", "general", "public", "2.0", "later", "project", "part", "written", "prior"}
-        self.anchor_words = sorted({w for _, _, c in self.content for w in c} - common)
+        self.content = [(f, t, content(words(t))) for f, ts in TEMPLATES.items() for t in ts]
+        common = {"mit", "version", "file", "files", "works", "person", "source", "use", "general", "public", "2.0", "later", "project", "part", "written", "prior", "free", "copy", "modify", "purpose", "name", "names", "list", "form", "code", "products", "received", "along", "obtain", "one", "made", "must", "above", "program", "should", "have", "shall", "included", "required", "law", "writing", "binary", "domain", "if", "was", "holder", "into", "without", "documentation"}
+        # a word with numbers is found by what is before them
+        self.anchor_words = sorted({w.split("#")[0].rstrip("-.") for _, _, c in self.content for w in c} - common)
         # no paragraph can have enough of a template's content without one of the anchors
         assert all(len(c & common) < CONTAINED * len(c) for _, _, c in self.content)
 
-    def matrix(self, rows: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(rows), int(self.column.max()) + 1))
-        for i, r in enumerate(rows):
-            c = self.column[r]
-            out[i, c[c >= 0]] = 1.0
-        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+    def matrix(self, rows: list[np.ndarray]) -> Sparse:
+        own = (self.column[r] for r in rows)
+        return Sparse([c[c >= 0] for c in own])
 
     @staticmethod
     def soft(z: np.ndarray) -> np.ndarray:
@@ -169,10 +235,10 @@ class Classifier:
     def classify(self, paragraph: str) -> tuple[str, float, str | None]:
         """Family, its probability, the template that confirms it; 'unknown' if none does."""
         t = words(paragraph)
-        p = self.soft((self.matrix([features(t)]) @ self.w + self.b) / self.heat)[0]
+        p = self.soft((self.matrix([features(t)]).times(self.w) + self.b) / self.heat)[0]
         k = int(p.argmax())
         if self.families[k] != UNKNOWN and p[k] >= self.least:
-            have = set(t)
+            have = content(t)
             share, text = max((len(c & have) / len(c), x) for f, x, c in self.content if f == self.families[k])
             if share >= CONTAINED:
                 return self.families[k], float(p[k]), text
