@@ -47,11 +47,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def discard(spark: SparkSession, keep: str | None = None) -> None:
-    """Delete the intermediate tables that this session has written, but for keep. DataFrames that are made of them,
+def written(spark: SparkSession) -> set[str]:
+    """The intermediate tables that this session has written so far."""
+    return {*_made.get(spark.sparkContext.applicationId, [])}
+
+
+def discard(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Delete the intermediate tables that this session has written, but for some. DataFrames that are made of them,
     and haven't been written, can't be read any more."""
     made = _made.get(spark.sparkContext.applicationId, [])
-    for path in [x for x in made if x != keep]:
+    for path in [x for x in made if x not in keep]:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         made.remove(path)

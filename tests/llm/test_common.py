@@ -58,14 +58,16 @@ def test_spark_hash(spark):
 
 
 def test_discard(spark):
+    before = common.written(spark)
     kept, gone = common.new_path(spark, "kept"), common.saved(spark.range(3), "gone")
     common.saved(spark.range(3), "x", kept)
     path = gone.inputFiles()[0]
-    common.discard(spark, kept)
+    common.discard(spark, {*before, kept})
+    assert common.written(spark) == {*before, kept}
     assert spark.read.parquet(kept).count() == 3
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(path).count()
-    common.discard(spark)
+    common.discard(spark, before)
 
 
 def test_mapped_names(spark):
