@@ -117,14 +117,14 @@ def _edges(batches):
     t = pa.Table.from_batches(got)
     k = t.column("k").to_numpy()
     f, r = t.column(FILE).to_numpy(), t.column(ROW).to_numpy()
-    raw = t.column("sig").combine_chunks()
+    raw = b"".join(t.column("sig").to_pylist())
+    every = np.frombuffer(raw, "<u2").reshape(-1, VALUES)
     order = np.lexsort((r, f, k))
     cuts = np.flatnonzero(np.diff(k[order])) + 1
     found = set()
     for group in np.split(order, cuts):
         if len(group) > 1:
-            sigs = np.frombuffer(b"".join(raw[int(i)].as_py() for i in group), "<u2").reshape(len(group), VALUES)
-            for a, b in linked(sigs):
+            for a, b in linked(every[group]):
                 a, b = group[a], group[b]
                 found.add((int(f[a]), int(r[a]), int(f[b]), int(r[b])))
     rows = list(found)

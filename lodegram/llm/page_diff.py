@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|
 _INLINE = "a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 _TAG = re.compile(r"""</?([A-Za-z][^\s<>"'/]*)(?:[^<>"']|"[^"]*"|'[^']*')*+>|<[!?][^<>]*>""")
 _INLINE_NAMES = frozenset(_INLINE)
-#: Rows of the LCS table are kept whole up to so many bits, else it is halved.
+#: All rows of the LCS table are kept up to so many bits; of a larger one some, from which the others are made again.
 TABLE_BITS = 1 << 28
 
 
@@ -32,9 +33,8 @@ def text_lines(page: str) -> list[str]:
     return [x for x in lines if x]
 
 
-def _rows(a: list[int], masks: dict[int, int], full: int):
-    """The LCS table of a against the masked sequence by rows of bits: a 0 where the length grows."""
-    v = full
+def _rows(a: list[int], masks: dict[int, int], full: int, v: int):
+    """Rows of bits of the LCS table of a against the masked sequence, after the row v: a 0 where the length grows."""
     for x in a:
         u = v & masks.get(x, 0)
         v = ((v + u) | (v - u)) & full
@@ -53,35 +53,31 @@ def _masks(b: list[int]) -> dict[int, int]:
     return out
 
 
-def _lengths(a: list[int], b: list[int]) -> np.ndarray:
-    """Lengths of the LCS of a and each prefix of b."""
-    v = full = (1 << len(b)) - 1
-    for v in _rows(a, _masks(b), full):
-        pass
-    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
-    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
-
-
-def _common(a: list[int], b: list[int], at: int, out: list[int]) -> None:
+def _common(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence: from the ends on, equal items belong to it; else b's last item is left
+    out where that costs nothing, else a's."""
     if not a or not b:
-        return
-    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
-        half = len(a) // 2
-        j = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
-        _common(a[:half], b[:j], at, out)
-        _common(a[half:], b[j:], at + half, out)
-        return
-    rows = list(_rows(a, _masks(b), (1 << len(b)) - 1))
-    i, j, found = len(a), len(b), []
+        return []
+    masks, full = _masks(b), (1 << len(b)) - 1
+    step = len(a) if len(a) * len(b) <= TABLE_BITS else math.isqrt(len(a)) + 1
+    marks, rows = [full], []
+    for lo in range(0, len(a) - step, step):
+        for v in _rows(a[lo : lo + step], masks, full, marks[-1]):
+            pass
+        marks.append(v)
+    i, j, base, found = len(a), len(b), len(a), []
     while i and j:
+        if i - 1 < base:
+            base = (i - 1) // step * step
+            rows = list(_rows(a[base : base + step], masks, full, marks[base // step]))
         if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
-            found.append(at + i)
-        elif rows[i - 1] >> (j - 1) & 1:
+            found.append(i)
+        elif rows[i - 1 - base] >> (j - 1) & 1:
             j -= 1
         else:
             i -= 1
-    out += reversed(found)
+    return found[::-1]
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,8 +92,7 @@ def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     tail = int(differ[0]) if len(differ) else n - head
     left, right = a[head : len(a) - tail], b[head : len(b) - tail]
     own = np.flatnonzero(np.isin(left, right))
-    found: list[int] = []
-    _common(left[own].tolist(), right[np.isin(right, left)].tolist(), 0, found)
+    found = _common(left[own].tolist(), right[np.isin(right, left)].tolist())
     return np.concatenate((np.arange(head), head + own[found], np.arange(len(a) - tail, len(a)))).astype(np.int32)
 
 

@@ -365,6 +365,21 @@ def test_shared_lines(monkeypatch, bits):
         assert len(s) == lcs(a, b) and (np.diff(s) > 0).all() and all(x in rest for x in a[s].tolist())
 
 
+def test_shared_lines_of_large_tables(monkeypatch):
+    """The same lines of several longest ones, whatever part of the table is kept."""
+    rng = random.Random(24)
+    for _ in range(300):
+        a, b = (np.array([rng.randrange(4) for _ in range(rng.randrange(40))], np.uint64) for _ in range(2))
+        found = []
+        for bits in (1 << 28, 4):
+            monkeypatch.setattr(page_diff, "TABLE_BITS", bits)
+            found.append(page_diff.shared_lines(a, b).tolist())
+        assert found[0] == found[1] and len(found[0]) == lcs(a, b)
+    long = np.array([rng.randrange(1 << 40) for _ in range(20_000)], np.uint64)
+    other = np.delete(long, [rng.randrange(20_000) for _ in range(3000)])
+    assert len(page_diff.shared_lines(long, other)) == len(other)
+
+
 def test_pages(spark):
     page = lambda *x: "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav>Menu</nav>" + "".join(f"<p>{t}</p>" for t in x) + "<footer>&copy; <b>Foot</b></footer>"
     rows = [
