@@ -181,21 +181,21 @@ def components(edges: DataFrame, a: str, b: str, tag: str) -> DataFrame:
     """Connected components of the edges (a, b): node, root (the least node), for every node.
 
     Large-star and small-star rounds in turn (Kiveris et al., 2014), each written to the shared
-    folder, until no edge changes: a number of rounds that grows with the log of the diameter. A node's
+    folder, until all edges go to a root: a number of rounds that grows with the log of the diameter. A node's
     neighbours are never brought together: their least is an aggregate, which is joined to the edges, so that a
     node with very many of them is a skewed join's key, which adaptive execution splits.
     """
 
-    def sums(d: DataFrame):
-        # compare by count and order-independent sums of hashes
-        return d.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")), F.sum(F.xxhash64("y", "x").cast("decimal(38,0)"))).first()
-
     def starred(d: DataFrame) -> DataFrame:
         return d.where("x <> y").distinct()
 
+    def open_(d: DataFrame) -> bool:
+        """Whether a node has several lesser ones, or one that has a lesser one itself."""
+        ends = d.select(F.col("x").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(d.select(F.col("y").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return bool(ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").limit(1).count())
+
     e = saved(starred(edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y"))), tag)
-    mark = sums(e)
-    while mark[0]:
+    while open_(e):
         # large star: each larger neighbour goes to the least of the neighbours and the node itself
         both = e.select(F.col("x").alias("n"), F.col("y").alias("m")).unionByName(e.select(F.col("y").alias("n"), F.col("x").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("k")).select("n", F.least("n", "k").alias("k"))
@@ -203,10 +203,7 @@ def components(edges: DataFrame, a: str, b: str, tag: str) -> DataFrame:
         # small star: the node and its lesser neighbours go to the least of them
         least = large.groupBy("x").agg(F.min("y").alias("k"))
         small = large.join(least, "x").select(F.col("y").alias("x"), F.col("k").alias("y")).unionByName(least.select("x", F.col("k").alias("y")))
-        e, last = saved(starred(small), tag), mark
-        mark = sums(e)
-        if mark == last:
-            break
+        e = saved(starred(small), tag)
     roots = e.select(F.col("y").alias("node"), F.col("y").alias("root")).distinct()
     return e.select(F.col("x").alias("node"), F.col("y").alias("root")).unionByName(roots)
 
