@@ -73,7 +73,7 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "epl": [
         "This program and the accompanying materials are made available under the Eclipse Public License 2.0.",
-        "Licensed under the Eclipse Public License, version 1.0.",
+        "Eclipse Public License, v1.0",
         "SPDX-License-Identifier: EPL-2.0",
     ],
     "isc": [
