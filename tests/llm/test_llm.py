@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -632,6 +633,36 @@ def test_across():
         assert got == want
 
 
+def test_across_signs():
+    """SimHashes are numbers without a sign: lines that differ in the highest bit and a few others are near."""
+    s = np.array([5, 5 ^ (-(1 << 63) | 7), -1, 1 << 62 ^ 7 ^ ((1 << 63) - 1)], np.int64)
+    n = len(s)
+    columns = [np.array([1, 1, 2, 2]), np.arange(n), np.full(n, -7), s, np.full(n, 100), np.zeros(n, bool), np.arange(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "h", "l", "s", "length", "block", "root"])
+    assert {(r["h1"], r["h2"]) for b in line_dedup._across(iter([batch])) for r in b.to_pylist()} == {(0, 1), (2, 3)}
+
+
+def test_line_dedup_memory(monkeypatch):
+    """A key of very many lines, and one batch of many or long lines, take little memory at once."""
+    rng = np.random.RandomState(21)
+    n = 3200
+    columns = [np.zeros(n, np.int64), rng.permutation(n), np.full(n, -7), rng.randint(0, 1 << 62, n), np.full(n, 100), np.zeros(n, bool), np.arange(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "h", "l", "s", "length", "block", "root"])
+    tracemalloc.start()
+    pairs = sum(b.num_rows for b in line_dedup._across(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = columns[3]
+    assert pairs == sum(int((np.bitwise_count(s[i] ^ s[i + 1 :]) <= line_dedup.MAX_BITS).sum()) for i in range(n)) and peak < 100 << 20
+    seen, true = [], line_dedup.edits_at_most
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 10_000)
+    monkeypatch.setattr(line_dedup, "edits_at_most", lambda a, b, most: seen.append((len(a), sum(map(len, a + b)))) or true(a, b, most))
+    lines = ["x" * int(rng.choice([3, 100, 7000])) for _ in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(x, pa.string()), pa.array(x, pa.string())], ["h1", "a", "b"]) for x in (lines, lines[:1], [], lines[:7])]
+    assert sum(b.num_rows for b in line_dedup._alike(iter(batches))) == 408
+    assert sum(k for k, _ in seen) == 408 and all(size <= 10_000 or k == 1 for k, size in seen)
+
+
 def test_line_dedup_near_copies(spark):
     """Without a bound on SimHashes: of pairs with the edit similarity, one in ten at most may stay."""
     rng = random.Random(14)
