@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 from lodegram.llm.common import FILE, ROW, mapped, new_path, saved, with_row_key
 
 K, TREES, LEAF, SEED = 10, 8, 256, 17
-#: Vectors of a tree that are reranked in one task, about: leaves are grouped to so many.
-GROUP = 1 << 15
+#: Bytes of the vectors that the forest is fitted to, at most (those of the rows with the least hashes), and of those that a
+#: task compares with the queries at once; queries that it compares them with at once.
+SAMPLE, HELD, ASKING = 32 << 20, 16 << 20, 4096
+#: Vectors of the sample that each query is compared with first, so that it knows what it need not keep.
+FIRST = 1024
 #: The number of leaves to search is the least that finds this share of the true neighbours of the
 #: queries that it is set on: those with the least hashes, of a bounded number.
 TARGET, CALIBRATION = 0.94, 256
-#: Cut points that a task gives for a node's median.
-POINTS = 64
 BLOCK = 4096
 
 _VECTOR = f"{FILE} long, {ROW} long, e binary"
+_FOUND = "f long, r long, nf long, nr long, sim double"
 
 
 def directions(depth: int, size: int) -> np.ndarray:
@@ -34,16 +36,19 @@ def directions(depth: int, size: int) -> np.ndarray:
 
 
 class Forest:
-    """The nodes' thresholds by tree and level, read from the shared folder: 4 bytes for each node."""
+    """The nodes' thresholds by tree and level, each the median of the node's vectors in x."""
 
-    def __init__(self, path: str | None, depth: int, size: int) -> None:
-        self.depth, self.way = depth, directions(depth, size)
+    def __init__(self, x: np.ndarray, depth: int) -> None:
+        self.depth, self.way = depth, directions(depth, x.shape[1])
         self.cut = [np.zeros((TREES, 1 << level), np.float32) for level in range(depth)]
-        for level in range(depth):
-            fs, base = pafs.FileSystem.from_uri(f"{path}/l{level}")
-            if fs.get_file_info(base).type == pafs.FileType.Directory:
-                t = pads.dataset(base, filesystem=fs, format="parquet").to_table()
-                self.cut[level][t.column("tree").to_numpy(), t.column("node").to_numpy()] = t.column("cut").to_numpy()
+        for t in range(TREES):
+            p, node = x @ self.way[t].T, np.zeros(len(x), np.int64)
+            for level in range(depth):
+                order = np.lexsort((p[:, level], node))
+                ends = np.searchsorted(node[order], np.arange((1 << level) + 1))
+                some = np.flatnonzero(np.diff(ends))
+                self.cut[level][t, some] = p[order[(ends[some] + ends[some + 1] - 1) // 2], level]
+                node = 2 * node + (p[:, level] > self.cut[level][t, node])
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """(vectors, TREES): the leaf of each."""
@@ -71,7 +76,7 @@ class Forest:
         return np.stack([x @ self.way[t].T for t in range(TREES)], 1).tolist()
 
 
-def unit(batch: pa.RecordBatch) -> np.ndarray:
+def unit(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("e").to_pylist()), np.float32).reshape(batch.num_rows, -1)
 
 
@@ -85,51 +90,25 @@ def _unit_rows(size: int):
                 x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
             good = np.flatnonzero(np.isfinite(x).all(1))
             take = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(FILE).take(take), batch.column(ROW).take(take), pa.array([r.tobytes() for r in x[good]], pa.binary())], [FILE, ROW, "e"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (FILE, ROW, "asks")), pa.array([r.tobytes() for r in x[good]], pa.binary())], [FILE, ROW, "asks", "e"])
 
     return run
 
 
-def _medians(path: str, level: int, size: int):
-    """Cut points of the projections in each node of a level, and how many vectors each stands for."""
+def _read(path: str, columns: list[str], rows: int):
+    """Batches of a table in the shared folder."""
+    fs, base = pafs.FileSystem.from_uri(path)
+    if any(x.extension == "parquet" for x in fs.get_file_info(pafs.FileSelector(base))):
+        yield from pads.dataset(base, filesystem=fs, format="parquet").to_batches(columns=columns, batch_size=rows)
 
-    def run(batches):
-        forest, way = Forest(path, level, size), directions(level + 1, size)[:, level]
-        nodes, values = [], []
-        for batch in batches:
-            if batch.num_rows:
-                x = unit(batch)
-                nodes.append(forest.leaves(x))
-                values.append(x @ way.T)
-        if not nodes:
-            return
-        node, value = np.concatenate(nodes), np.concatenate(values)
-        for t in range(TREES):
-            order = np.lexsort((value[:, t], node[:, t]))
-            n, v = node[order, t], value[order, t]
-            first = np.flatnonzero(np.concatenate(([True], n[1:] != n[:-1])))
-            count = np.diff(np.append(first, len(n)))
-            parts = np.minimum(count, POINTS)
-            owner = np.repeat(np.arange(len(first)), parts)
-            i = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            lo, hi = i * count[owner] // parts[owner], (i + 1) * count[owner] // parts[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(owner), t, np.int32)), pa.array(n[first][owner]), pa.array(v[first[owner] + (lo + hi) // 2].astype(np.float64)), pa.array(hi - lo)],
-                ["tree", "node", "p", "w"],
-            )
-
-    return run
 
-
-def plant(vectors: DataFrame, size: int, depth: int) -> str:
-    """Write the forest's thresholds, level by level: each node's median over all its vectors, which
-    the tasks summarise by POINTS weighted points."""
-    path = new_path(vectors.sparkSession, "forest")
-    for level in range(depth):
-        points = vectors.select("e").transform(mapped, _medians(path, level, size), "tree int, node long, p double, w long")
-        cut = points.groupBy("tree", "node").agg(F.expr("percentile(p, 0.5, w)").cast("float").alias("cut"))
-        cut.coalesce(1).write.parquet(f"{path}/l{level}")
-    return path
+def sampled(path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of the sample, in the order of their hashes."""
+    got = [b for b in _read(path, [FILE, ROW, "e", "hash"], 1 << 16) if b.num_rows]
+    if not got:
+        return np.empty((0, 2), np.int64), np.empty((0, size), np.float32)
+    t = pa.Table.from_batches(got).sort_by([("hash", "ascending"), (FILE, "ascending"), (ROW, "ascending")])
+    return np.stack([t.column(FILE).to_numpy(), t.column(ROW).to_numpy()], 1), unit(t)
 
 
 def merged_top(own: np.ndarray, sims: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,34 +134,40 @@ def block_top(q: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return found
 
 
-def _exact(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return np.round(np.einsum("ij,ij->i", q.astype(np.float64), m.astype(np.float64)), 6)
+def _exact(q: np.ndarray, m: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    part = [np.einsum("ij,ij->i", q[own[a : a + BLOCK]].astype(np.float64), m[at[a : a + BLOCK]].astype(np.float64)) for a in range(0, len(own), BLOCK)]
+    return np.round(np.concatenate(part or [np.empty(0)]), 6)
 
 
-def _truth(batches_queries: np.ndarray, k: int):
+def _truth(queries: np.ndarray, k: int):
     """Nearest of a task's vectors for the calibration's queries."""
 
     def run(batches):
+        best: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(batch)
-            own, _, at = block_top(batches_queries, x, k + 1)
-            sim = _exact(batches_queries[own], x[at])
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(sim), *(batch.column(c).take(take) for c in (FILE, ROW, "e"))], ["q", "sim", FILE, ROW, "e"])
+            own, _, at = block_top(queries, x, k + 1)
+            new = [own, _exact(queries, x, own, at), batch.column(FILE).to_numpy()[at], batch.column(ROW).to_numpy()[at], x[at]]
+            best = [np.concatenate(c) for c in zip(best, new)] if best else new
+            order = np.lexsort((best[3], best[2], -best[1], best[0]))
+            best = [c[order] for c in best]
+            rank = np.arange(len(order)) - np.searchsorted(best[0], best[0])
+            best = [c[rank <= k] for c in best]
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array(best[0].astype(np.int32)), *map(pa.array, best[1:4]), pa.array([r.tobytes() for r in best[4]], pa.binary())], ["q", "sim", FILE, ROW, "e"])
 
     return run
 
 
-def calibrated(vectors: DataFrame, path: str, size: int, depth: int, k: int) -> int:
+def calibrated(vectors: DataFrame, forest: Forest, size: int, k: int) -> int:
     """How many leaves a query searches, so that TARGET of the true neighbours are found for the
     CALIBRATION rows that it is set on; these are compared with all vectors."""
-    sample = vectors.orderBy(F.xxhash64(FILE, ROW), FILE, ROW).limit(CALIBRATION).collect()
+    sample = vectors.where("asks").orderBy(F.xxhash64(FILE, ROW), FILE, ROW).limit(CALIBRATION).collect()
     q = np.frombuffer(b"".join(r.e for r in sample), np.float32).reshape(len(sample), size)
     own = F.struct((-F.col("sim")).alias("s"), FILE, ROW, "e")
-    near = vectors.transform(mapped, _truth(q, k), f"q int, sim double, {_VECTOR}").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(own)), 1, k + 1).alias("near")).collect()
-    forest = Forest(path, depth, size)
+    near = vectors.drop("asks").transform(mapped, _truth(q, k), f"q int, sim double, {_VECTOR}").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(own)), 1, k + 1).alias("near")).collect()
     ways, ranks = forest.projections(q), []
     for r in near:
         me = (sample[r.q][FILE], sample[r.q][ROW])
@@ -203,82 +188,124 @@ def calibrated(vectors: DataFrame, path: str, size: int, depth: int, k: int) ->
     return sorted(ranks)[math.ceil(TARGET * len(ranks)) - 1] if ranks else TREES
 
 
-def _members(path: str, depth: int, size: int, group_bits: int):
-    def run(batches):
-        forest = Forest(path, depth, size)
-        for batch in batches:
-            if batch.num_rows:
-                leaf = forest.leaves(unit(batch))
-                for t in range(TREES):
-                    cell = (leaf[:, t] >> group_bits) * TREES + t
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(leaf[:, t]), *(batch.column(c) for c in (FILE, ROW, "e"))], ["cell", "leaf", FILE, ROW, "e"])
+def _best(own: np.ndarray, at: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each owner, each once: (own, at, sim), by owner, then sim, then at."""
+    order = np.lexsort((at, -sim, own))
+    own, at, sim = own[order], at[order], sim[order]
+    keep = np.ones(len(own), bool)
+    keep[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
+    own, at, sim = own[keep], at[keep], sim[keep]
+    keep = np.arange(len(own)) - np.searchsorted(own, own) < k
+    return own[keep], at[keep], sim[keep]
 
-    return run
 
+def _asked(forest: Forest, sample: str, size: int, visits: int, k: int):
+    """For each query the leaves that it searches, as bits, and its nearest of FIRST vectors of the sample: what is
+    farther than the last of these needn't be kept."""
 
-def _asked(path: str, depth: int, size: int, group_bits: int, visits: int):
     def run(batches):
-        forest = Forest(path, depth, size)
+        keys, first = (x[:FIRST] for x in sampled(sample, size))
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        keys, first = keys[order], first[order]
         for whole in batches:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
-                cells, owners, lists = [], [], []
-                for i, p in enumerate(forest.projections(unit(batch))):
-                    to: dict[int, list[int]] = {}
+            for a in range(0, whole.num_rows, 1000):
+                batch = whole.slice(a, 1000)
+                q, mine = unit(batch), np.stack([batch.column(FILE).to_numpy(), batch.column(ROW).to_numpy()], 1)
+                bits = np.zeros((len(q), TREES << forest.depth), bool)
+                for i, p in enumerate(forest.projections(q)):
                     for n, (t, leaf) in enumerate(forest.search(p), 1):
-                        to.setdefault((leaf >> group_bits) * TREES + t, []).append(leaf)
+                        bits[i, (t << forest.depth) + leaf] = True
                         if n == visits:
                             break
-                    cells += to
-                    owners += [i] * len(to)
-                    lists += to.values()
-                take = pa.array(owners, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(lists, pa.list_(pa.int64())), *(batch.column(c).take(take) for c in (FILE, ROW, "e"))], ["cell", "leaves", FILE, ROW, "e"])
+                own, _, at = block_top(q, first, k + 1)
+                other = (mine[own] != keys[at]).any(1)
+                own, at = own[other], at[other]
+                own, at, sim = _best(own, at, _exact(q, first, own, at), k)
+                ends = np.searchsorted(own, np.arange(len(q) + 1))
+                floor = np.full(len(q), -2.0)
+                full = np.flatnonzero(np.diff(ends) == k)
+                floor[full] = sim[ends[full + 1] - 1]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c)) for c in (keys[at, 0], keys[at, 1], sim)]
+                leaves = pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (FILE, ROW, "e")), leaves, pa.array(floor), *lists], [FILE, ROW, "e", "leaves", "floor", "nf", "nr", "sim"])
 
     return run
 
 
-def _reranked(k: int):
-    """Exact similarities of a cell's queries with the members of the leaves that they ask for; each query's best k."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["f", "r", "nf", "nr", "sim"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())], names)
-        load = lambda t: np.frombuffer(b"".join(t.column("e").to_pylist()), np.float32).reshape(t.num_rows, -1)
-        q, m = load(left), load(right)
-        qk, mk = (np.stack([t.column(FILE).to_numpy(), t.column(ROW).to_numpy()], 1) for t in (left, right))
-        lists = left.column("leaves").combine_chunks()
-        asked = lists.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
-        by_leaf, mine = np.argsort(asked, kind="stable"), np.argsort(right.column("leaf").to_numpy(), kind="stable")
-        asked, owner, leaf = asked[by_leaf], owner[by_leaf], right.column("leaf").to_numpy()[mine]
-        best = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64))
-        wait, size = [best], 0
-        for x in np.unique(leaf):
-            who = owner[np.searchsorted(asked, x) : np.searchsorted(asked, x, "right")]
-            have = mine[np.searchsorted(leaf, x) : np.searchsorted(leaf, x, "right")]
-            for a in range(0, len(who), BLOCK):
-                part = who[a : a + BLOCK]
-                own, sim, at = block_top(q[part], m[have], k + 1)  # one more, for the query itself
-                wait.append((part[own], sim, have[at]))
-                size += len(own)
-            if size > 4_000_000:
-                wait, size = [merged_top(*(np.concatenate(c) for c in zip(*wait)), k + 1)], 0
-        own, _, at = merged_top(*(np.concatenate(c) for c in zip(*wait)), k + 1)
-        other = (qk[own] != mk[at]).any(1)
-        own, at = own[other], at[other]
-        sim = _exact(q[own], m[at])
-        return pa.table([pa.array(c) for c in (*qk[own].T, *mk[at].T, sim)], names)
+def _compared(forest: Forest, asked: str, size: int, k: int):
+    """Each query's best k of a task's vectors that are in leaves which it searches. The queries are read from the
+    shared folder, so that no vector is shuffled."""
+
+    def near(x: np.ndarray, homes: list, keys: np.ndarray, batch: pa.RecordBatch):
+        q, mine = unit(batch), np.stack([batch.column(FILE).to_numpy(), batch.column(ROW).to_numpy()], 1)
+        floor = batch.column("floor").to_numpy()
+        packed = np.frombuffer(b"".join(batch.column("leaves").to_pylist()), np.uint8).reshape(len(q), -1)
+        asks = np.ascontiguousarray(np.unpackbits(packed, axis=1)[:, : TREES << forest.depth].T).view(bool)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+        def merged(best, wait, floor):
+            own, at = (np.concatenate(c) for c in zip(*wait))
+            other = (mine[own] != keys[at]).any(1)
+            own, at = own[other], at[other]
+            best = _best(*(np.concatenate(c) for c in zip(best, (own, at, _exact(q, x, own, at)))), k)
+            last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
+            floor = floor.copy()
+            floor[best[0][last]] = np.maximum(floor[best[0][last]], best[2][last])
+            return best, floor
+
+        for t, (order, some, ends) in enumerate(homes):
+            wait, waiting = [], 0
+            for leaf, lo, hi in zip(some.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+                who = np.flatnonzero(asks[(t << forest.depth) + leaf])
+                for a in range(0, len(who), 1024):
+                    own = who[a : a + 1024]
+                    for b in range(lo, hi, 1024):
+                        have = order[b : min(b + 1024, hi)]
+                        # products in 32 bits may be lower than the rounded similarity
+                        i, j = np.nonzero(q[own] @ x[have].T >= (floor[own] - 2e-6).astype(np.float32)[:, None])
+                        wait.append((own[i], have[j]))
+                        waiting += len(i)
+                        if waiting > 200_000:
+                            best, floor = merged(best, wait, floor)
+                            wait, waiting = [], 0
+            if waiting:
+                best, floor = merged(best, wait, floor)
+        own, at, sim = best
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*mine[own].T, *keys[at].T, sim)], ["f", "r", "nf", "nr", "sim"])
+
+    def block(wait: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(wait).sort_by([(FILE, "ascending"), (ROW, "ascending")])
+        x, keys = unit(t), np.stack([t.column(FILE).to_numpy(), t.column(ROW).to_numpy()], 1)
+        leaf, homes = forest.leaves(x), []
+        for i in range(TREES):
+            order = np.argsort(leaf[:, i], kind="stable")
+            some, first = np.unique(leaf[order, i], return_index=True)
+            homes.append((order, some, np.append(first, len(x))))
+        for batch in _read(asked, [FILE, ROW, "e", "leaves", "floor"], ASKING):
+            if batch.num_rows:
+                yield near(x, homes, keys, batch)
+
+    def run(batches):
+        wait: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                wait.append(batch)
+            if sum(x.num_rows for x in wait) * 4 * size >= HELD:
+                yield from block(wait)
+                wait = []
+        if wait:
+            yield from block(wait)
 
     return run
 
 
-def nearest(spark: SparkSession, table: DataFrame, k: int = K) -> DataFrame:
-    """vec_id, neighbor_id, rank (from 1), similarity (cosine, 6 decimals): up to k rows for each row of table.
+def nearest(spark: SparkSession, table: DataFrame, k: int = K, every: int = 1) -> DataFrame:
+    """vec_id, neighbor_id, rank (from 1), similarity (cosine, 6 decimals): up to k rows for each query of the table.
 
-    Every row is a query. TREES trees are split along random directions at the median of all vectors of a node, to
-    leaves of about LEAF vectors; a query searches the leaves in the order of a queue that all trees
+    Queries are the rows whose vec_id is divisible by every, against all rows; with 1 all rows, of null ids too. TREES
+    trees are split along random directions at the median of a node's vectors in the sample (those with the least hashes,
+    SAMPLE bytes at most, all of a small table), to leaves of about LEAF vectors of it; all vectors are in the leaves. A query
+    searches the leaves in the order of a queue that all trees
     share, as many as calibrated() says, and the members of those leaves are compared exactly. Ties
     go by file and row. A row is no neighbour of its own, but equal and repeated rows are of each other. Null,
     empty, zero or not finite embeddings, ones with null or infinite entries, and ones of another length
@@ -288,14 +315,22 @@ def nearest(spark: SparkSession, table: DataFrame, k: int = K) -> DataFrame:
     rows = with_row_key(table, ["vec_id", "embedding"]).where("embedding is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
     sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
     size = sizes["n"] if sizes else 1
-    vectors = saved(rows.where(F.size("embedding") == size).select(FILE, ROW, "embedding").transform(mapped, _unit_rows(size), _VECTOR), "vectors")
-    depth = max(0, math.ceil(math.log2(max(1, vectors.count()) / LEAF)))
-    group_bits = int(math.log2(GROUP // LEAF))
-    path = plant(vectors, size, depth)
-    visits = calibrated(vectors, path, size, depth, k) if depth else TREES
-    asked = vectors.transform(mapped, _asked(path, depth, size, group_bits, visits), f"cell long, leaves array<long>, {_VECTOR}")
-    members = vectors.transform(mapped, _members(path, depth, size, group_bits), f"cell long, leaf long, {_VECTOR}")
-    found = saved(asked.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(_reranked(k), "f long, r long, nf long, nr long, sim double"), "near")
+    asks = F.coalesce(F.col("vec_id") % every == 0, F.lit(False)) if every != 1 else F.lit(True)
+    kept = rows.where(F.size("embedding") == size).select(FILE, ROW, asks.alias("asks"), "embedding")
+    vectors = saved(kept.transform(mapped, _unit_rows(size), f"{FILE} long, {ROW} long, asks boolean, e binary"), "vectors")
+    share = math.ceil((1 << 20) * min(1.0, SAMPLE / (4 * size) / max(1, vectors.count())))
+    few, asked = new_path(spark, "sample"), new_path(spark, "asked")
+    hashed = vectors.select(FILE, ROW, "e", F.shiftrightunsigned(F.xxhash64(FILE, ROW), 1).alias("hash"))
+    saved(hashed.where(F.shiftright("hash", 43) < share), "sample", few)
+    x = sampled(few, size)[1]
+    depth = max(0, math.ceil(math.log2(max(1, len(x)) / LEAF)))
+    forest = Forest(x, depth)
+    visits = calibrated(vectors, forest, size, k) if depth else TREES
+    queries = vectors.where("asks").drop("asks").repartition(spark.sparkContext.defaultParallelism)
+    lists = "nf array<long>, nr array<long>, sim array<double>"
+    first = saved(queries.transform(mapped, _asked(forest, few, size, visits, k), f"{_VECTOR}, leaves binary, floor double, {lists}"), "asked", asked)
+    first = first.select(F.col(FILE).alias("f"), F.col(ROW).alias("r"), F.explode(F.arrays_zip("nf", "nr", "sim")).alias("x")).select("f", "r", "x.nf", "x.nr", "x.sim")
+    found = saved(vectors.drop("asks").transform(mapped, _compared(forest, asked, size, k), _FOUND), "near").unionByName(first)
     own = F.struct((-F.col("sim")).alias("s"), "nf", "nr")
     top = found.groupBy("f", "r").agg(F.slice(F.array_sort(F.collect_set(own)), 1, k).alias("top"))
     flat = top.select("f", "r", F.posexplode("top").alias("i", "x")).select("f", "r", (F.col("i") + 1).alias("rank"), (-F.col("x.s")).alias("similarity"), F.col("x.nf").alias("nf"), F.col("x.nr").alias("nr"))

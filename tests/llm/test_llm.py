@@ -344,6 +344,28 @@ def test_neighbours(spark):
         assert neighbours.nearest(spark, spark.createDataFrame(t, schema)).count() == 0
 
 
+def test_neighbours_of_some(spark, monkeypatch):
+    """Queries are the ids divisible by a number, against all rows, with a forest that is fitted to a part of them."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 4 * 24 * 4000)
+    monkeypatch.setattr(neighbours, "HELD", 4 * 24 * 3000)
+    monkeypatch.setattr(neighbours, "FIRST", 50)
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    rng = np.random.RandomState(7)
+    x = rng.standard_normal((9000, 24)).astype(np.float32)
+    x[100:140] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(None, x[3].tolist()), (50, None)]
+    got = neighbours.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), every=50).toPandas()
+    ids = np.arange(0, 9000, 50)
+    assert sorted(got.vec_id.unique()) == ids.tolist() and (got.groupby("vec_id").size() == 10).all()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[ids] @ u.T
+    s[np.arange(len(ids)), ids] = -9
+    true = np.argsort(-s, axis=1)[:, :10]
+    hits = sum(len(set(g.neighbor_id) & set(true[i // 50])) for i, g in got.groupby("vec_id") if i != 100)
+    assert hits >= 0.9 * (true.size - 10)
+    assert got[got.vec_id == 100].sort_values("rank").neighbor_id.tolist() == list(range(101, 111))
+
+
 # 7 page differencing
 
 
