@@ -615,6 +615,26 @@ def test_edits_at_most():
     assert not len(line_dedup.edits_at_most([], [], np.array([])))
 
 
+def test_edits_at_most_together(monkeypatch):
+    """Long texts, like and unlike ones, are measured together, not pair by pair, with the results of each pair alone."""
+    rng = random.Random(23)
+    first, second = [], []
+    for i in range(40):
+        a = [rng.choice("abcdefgh日é ") for _ in range(rng.randrange(900, 1100))]
+        b = list(a)
+        for _ in range(rng.randrange(60, 140)):
+            k, what = rng.randrange(len(b)), rng.random()
+            b[k : k + (what > 0.3)] = rng.choice("abcdefgh") * (what < 0.7)
+        first.append("".join(a))
+        second.append("".join(b))
+    most = np.array([max(len(a), len(b)) // 10 for a, b in zip(first, second)])
+    want = [line_dedup.edit_at_most(a, b, int(m)) for a, b, m in zip(first, second, most)]
+    alone, true = [], line_dedup.edit_at_most
+    monkeypatch.setattr(line_dedup, "edit_at_most", lambda a, b, m: alone.append(a) or true(a, b, m))
+    assert line_dedup.edits_at_most(first, second, most).tolist() == want and 5 < sum(want) < 35
+    assert not alone
+
+
 @pytest.mark.parametrize("many", [256, 4])
 def test_near_pairs(monkeypatch, many):
     monkeypatch.setattr(line_dedup, "MANY", many)
