@@ -705,6 +705,29 @@ def test_line_dedup_memory(monkeypatch):
     assert sum(k for k, _ in seen) == 408 and all(size <= 10_000 or k == 1 for k, size in seen)
 
 
+def test_line_dedup_memory_of_pairs():
+    """Very many lines with like SimHashes, and many long lines that are measured at once, take little memory too."""
+    rng = np.random.RandomState(24)
+    n = 2500
+    columns = [np.zeros(n, np.int64), rng.permutation(n), np.full(n, -7), rng.randint(0, 2, n), np.full(n, 100), np.ones(n, bool), np.arange(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "h", "l", "s", "length", "block", "root"])
+    words = np.array(["".join(map(chr, x)) for x in rng.randint(97, 110, (2000, 6))])
+    pairs = rng.choice(words, (2500, 300))
+    first = [" ".join(x) for x in pairs]
+    pairs[:, rng.randint(0, 300, 20)] = rng.choice(words, 20)
+    second = [" ".join(x) for x in pairs]
+    tracemalloc.start()
+    made = sum(b.num_rows for b in line_dedup._across(iter([batch])))
+    across = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    alike = line_dedup.edits_at_most(first, second, np.full(2500, 200))
+    edits = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert made == n * (n - 1) // 2 and across < 64 << 20
+    assert alike.all() and edits < 80 << 20
+
+
 def test_line_dedup_near_copies(spark):
     """Without a bound on SimHashes: of pairs with the edit similarity, one in ten at most may stay."""
     rng = random.Random(14)
