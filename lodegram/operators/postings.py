@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = 20
-#: Characters that a task turns into grams at once.
-CHUNK = 1 << 21
+#: Bytes of text that a task turns into grams at once, and of a batch that goes to Python.
+CHUNK, BATCH_BYTES = 1 << 21, 4 << 20
+#: Keys of several texts that are sent to all executors; of more, all counts are shuffled.
+MANY_KEYS = 1 << 20
 
 
 def segment_of(rid: Column | str, shift: int = SHIFT) -> Column:
@@ -43,69 +46,166 @@ def unpack(segments: DataFrame, shift: int = SHIFT, hwm: int | None = None) -> D
     return segments.select("gram", "segment_no", F.explode(checked).alias("rid"))
 
 
-def _windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """For all windows of the texts: number of its gram, number of its text (ascending); and the grams."""
-    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-    lengths = np.array([len(p) for p in points])
-    flat = np.concatenate(points)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    n = len(flat) - size + 1
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and how many each has."""
+    at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    raw = texts.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])) if at[-1] > at[0] else b""
+    flat = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32)
+    if len(flat) == at[-1] - at[0]:
+        return flat, np.diff(at).astype(np.int64)
+    begins = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int64)))
+    return flat, np.diff(begins[at - at[0]])
+
+
+def _names(points: np.ndarray) -> pa.Array:
+    """Rows of code points as texts."""
+    ends = np.cumsum(np.add.reduce(1 + (points >= 0x80).astype(np.int32) + (points >= 0x800) + (points >= 0x10000), axis=1), dtype=np.int32)
+    raw = points.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.string(), len(points), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+
+
+def grams_of(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """For each gram and text that has it, sorted by both: number of the gram, number of the text, how many windows; and
+    the grams. Gram and text are one number, so that one sort of numbers brings the same ones together."""
+    flat, lengths = _points(texts)
+    n, none = len(flat) - size + 1, np.empty(0, np.int32)
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
+        return none, none, none, pa.array([], pa.string())
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     inside = owner[:n] == owner[size - 1 :]
-    code = flat[:n].astype(np.uint64)
+    known = np.zeros(int(flat.max()) + 1, bool)
+    known[flat] = True
+    letters = np.flatnonzero(known).astype(np.uint32)
+    symbol = (np.cumsum(known, dtype=np.uint32) - np.uint32(1))[flat]
+    width, row_bits = (int(x).bit_length() for x in (len(letters) - 1, len(lengths) - 1))
+    key, bits, prefixes = symbol[:n].astype(np.uint64), width, {}
     for k in range(1, size):
-        if k >= 3:  # three code points fill a number; a longer prefix is numbered first
-            code = np.unique(code, return_inverse=True)[1].astype(np.uint64)
-        code = (code << np.uint64(21)) | flat[k : k + n].astype(np.uint64)
-    at = np.flatnonzero(inside)
-    code = code[at]
-    order = np.argsort(code)  # not a stable one, which is far slower
-    sorted_ = code[order]
-    new = np.concatenate((np.ones(min(len(at), 1), bool), sorted_[1:] != sorted_[:-1]))
-    first, number = order[new], np.empty(len(at), np.int64)
-    number[order] = np.cumsum(new) - 1
-    names = [flat[i : i + size].tobytes().decode("utf-32-le", "surrogatepass") for i in at[first].tolist()]
-    return number, owner[at], names
+        if bits + width + row_bits > 64:  # what there is of the prefixes is numbered
+            prefixes[k] = np.sort(key)
+            prefixes[k] = prefixes[k][_firsts(prefixes[k])]
+            key, bits = np.searchsorted(prefixes[k], key).astype(np.uint64), (len(prefixes[k]) - 1).bit_length()
+        key <<= np.uint64(width)
+        key |= symbol[k : k + n]
+        bits += width
+    if bits + row_bits > 64:
+        raise OverflowError("too many texts at once")
+    key <<= np.uint64(row_bits)
+    key |= owner[:n].view(np.uint32)
+    key = key[inside]
+    del owner, inside, symbol, flat
+    key.sort()
+    first = np.flatnonzero(_firsts(key)).astype(np.int32)
+    count, key = np.diff(np.append(first, np.int32(len(key)))), key[first]
+    row = (key & np.uint64((1 << row_bits) - 1)).astype(np.int32)
+    key >>= np.uint64(row_bits)
+    new = _firsts(key)
+    left, points = key[new], np.empty((int(new.sum()), size), np.uint32)
+    del key, first
+    for k in range(size - 1, 0, -1):
+        points[:, k] = letters[(left & np.uint64((1 << width) - 1)).astype(np.int64)]
+        left = left >> np.uint64(width)
+        left = prefixes[k][left.astype(np.int64)] if k in prefixes else left
+    points[:, 0] = letters[left.astype(np.int64)]
+    return np.cumsum(new, dtype=np.int32) - np.int32(1), row, count, _names(points)
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Which differ from the one before."""
+    return np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]))
 
 
-def _packed_chunks(size: int, shift: int):
-    def emit(texts: list[str], rids: np.ndarray):
-        for segment in np.unique(rids >> shift).tolist():
-            own = np.flatnonzero(rids >> shift == segment)
-            own = own[np.argsort(rids[own], kind="stable")]
-            number, row, names = _windows([texts[i] for i in own], size)
-            if not names:
-                continue
-            both = np.unique((number << 32) | row)
-            number, rid = both >> 32, rids[own][both & 0xFFFFFFFF]
-            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rid)).astype(np.int32)), pa.array(rid))
-            grams = pa.array(names, pa.string())
-            for a in range(0, len(first), 50_000):
-                part = slice(a, min(a + 50_000, len(first)))
-                yield pa.RecordBatch.from_arrays([grams[part], pa.array(np.full(part.stop - a, segment, np.int64)), lists[part]], ["gram", "segment_no", "postings"])
+def _windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For all windows of the texts: number of its gram, number of its text; and the grams."""
+    number, row, count, names = grams_of(pa.array(texts, pa.string()), size)
+    return np.repeat(number, count), np.repeat(row, count), names.to_pylist()
+
+
+def _portions(batches, column: str):
+    """Batches again, of about CHUNK bytes of the column, which has no nulls; a longer text is alone with what came before."""
+    wait: list[pa.RecordBatch] = []
+    waiting = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64)
+        at = done = 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, int(np.searchsorted(ends, done + CHUNK - waiting)) + 1)
+            wait.append(batch.slice(at, to - at))
+            waiting, done, at = waiting + int(ends[to - 1]) - done, int(ends[to - 1]), to
+            if waiting >= CHUNK:
+                yield wait
+                wait, waiting = [], 0
+    if wait:
+        yield wait
+
+
+def _joined(wait: list[pa.RecordBatch], column: str) -> pa.Array:
+    parts = [b.column(column) for b in wait]
+    return pa.concat_arrays([x if x.type != pa.large_string() else x.cast(pa.string()) for x in parts])
+
 
+def _packed_chunks(size: int, shift: int):
     def run(batches):
-        texts, rids, size_now = [], [], 0
-        for batch in batches:
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("t").to_pylist()):
-                texts.append(text)
-                rids.append(rid)
-                size_now += len(text)
-                if size_now > CHUNK:
-                    yield from emit(texts, np.array(rids, np.int64))
-                    texts, rids, size_now = [], [], 0
-        if texts:
-            yield from emit(texts, np.array(rids, np.int64))
+        for wait in _portions(batches, "t"):
+            texts, rids = _joined(wait, "t"), _joined(wait, "rid").to_numpy()
+            if (rids[1:] < rids[:-1]).any():
+                order = np.argsort(rids, kind="stable")
+                texts, rids = texts.take(pa.array(order)), rids[order]
+            begin = np.flatnonzero(_firsts(rids >> shift))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(rids)]):
+                number, row, _, grams = grams_of(texts[lo:hi], size)
+                first, rid = np.flatnonzero(_firsts(number)), rids[lo:hi][row]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rid)).astype(np.int32)), pa.array(rid))
+                for a in range(0, len(first), 50_000):
+                    part = slice(a, min(a + 50_000, len(first)))
+                    yield pa.RecordBatch.from_arrays([grams[part], pa.array(np.full(part.stop - a, rids[lo] >> shift, np.int64)), lists[part]], ["gram", "segment_no", "postings"])
 
     return run
 
 
+def _bounded(rows: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow() in batches of BATCH_BYTES, which is set in the session."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def packed_chunks(rows: DataFrame, size: int, shift: int = SHIFT) -> DataFrame:
     """(rid, t), t folded, not null: gram, segment_no, postings, packed within each task, so that what is shuffled
     is lists and not single row ids."""
-    return rows.where(F.char_length("t") >= size).mapInArrow(_packed_chunks(size, shift), "gram string, segment_no long, postings array<bigint>")
+    return _bounded(rows, _packed_chunks(size, shift), "gram string, segment_no long, postings array<bigint>")
+
+
+def _counted(size: int):
+    def run(batches):
+        for wait in _portions(batches, "t"):
+            number, row, count, grams = grams_of(_joined(wait, "t"), size)
+            key = _joined(wait, "key")
+            for a in range(0, len(number), 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(row[part])), grams.take(pa.array(number[part])), pa.array(count[part].astype(np.int64))], ["key", "gram", "n"])
+
+    return run
+
+
+def gram_counts(rows: DataFrame, size: int) -> DataFrame:
+    """(key, t), t folded: key, gram, n, the number of windows of all texts of the key. Null texts have none.
+
+    A text's grams are counted where it is read. Only those of keys that several texts have are shuffled.
+    """
+    rows = rows.where("t is not null")
+    schema = f"key {dict(rows.dtypes)['key']}, gram string, n long"
+    several = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("__lg_key"))
+    many = several.limit(MANY_KEYS + 1).count()
+    if not many:
+        return _bounded(rows, _counted(size), schema)
+    if many > MANY_KEYS:
+        alone, together = None, rows
+    else:
+        known = F.broadcast(several)
+        alone, together = (rows.join(known, F.col("key").eqNullSafe(F.col("__lg_key")), how) for how in ("left_anti", "left_semi"))
+    summed = _bounded(together, _counted(size), schema).groupBy("key", "gram").agg(F.sum("n").alias("n"))
+    return summed if alone is None else _bounded(alone, _counted(size), schema).unionByName(summed)
 
 
 def merge_lists(parts: DataFrame) -> DataFrame:

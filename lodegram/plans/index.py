@@ -296,7 +296,7 @@ class Indexes:
         name = f"gen-{generation}-{uuid.uuid4().hex}"
         parts = f"{index.folder}/parts-{uuid.uuid4().hex}"
         text = F.col(quoted(meta.column))
-        texts = self.rows(index, files, lo, hi).select(F.col(RID).alias("rid"), (fold(text) if meta.case_insensitive else text).alias("t")).where("t is not null")
+        texts = self.rows(index, files, lo, hi).where(text.isNotNull()).select(F.col(RID).alias("rid"), (fold(text) if meta.case_insensitive else text).alias("t"))
         packed_chunks(texts, meta.gram, meta.shift).write.parquet(parts)
         partials = self.spark.read.schema("gram string, segment_no long, postings array<bigint>").parquet(parts)
         n = settings(self.spark).build_partitions

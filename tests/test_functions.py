@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodegram.functions.codec import decode_list, decode_postings, encode_list, encode_postings, posting_count
 from lodegram.functions.grams import fold, grams, needle_grams
-from lodegram.operators.postings import _windows, merge_lists, pack, pack_segment, packed_chunks, unpack
+from lodegram.operators.postings import _windows, gram_counts, merge_lists, pack, pack_segment, packed_chunks, unpack
 
 
 def one(spark, value, *args):
@@ -104,6 +104,50 @@ def test_chunks_equal_pack(spark):
     assert sorted((r.gram, r.segment_no, list(r.postings)) for r in got) == sorted((r.gram, r.segment_no, list(r.postings)) for r in pack(slow).collect())
 
 
+@pytest.mark.parametrize("keys", ["alone", "few", "many"])
+def test_gram_counts(spark, monkeypatch, keys):
+    """The counts of an explode, which shuffles each gram of each text; here only those of keys with several texts are."""
+    from lodegram.operators import postings
+
+    monkeypatch.setattr(postings, "MANY_KEYS", 0 if keys == "many" else 100)
+    texts = [(i, f"row {i % 7} tént 🦆 {i}") for i in range(300)] + [(1000, None), (1001, ""), (1002, "ab"), (1003, "aaaa")]
+    if keys != "alone":
+        texts += [(None, "tent row"), (None, "tent row"), (7, "row tent"), (8, None), (9, "a"), (1003, "aaaaa")]
+    df = spark.createDataFrame(texts, "key long, t string").repartition(3)
+    got = gram_counts(df, 3)
+    want = df.select("key", F.explode(grams("t", 3)).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(got.collect()) == order(want.collect()) and got.dtypes == want.dtypes
+    if keys == "alone":
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold(spark):
+    texts = ["İΣ", "aΣ b", "AİB", "ÉTION", "plain", "ΟΔΥΣ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.g for r in df.select(fold("t").alias("g")).collect()] == [r.g for r in df.select(F.lower(F.translate("t", "İΣ", "iσ")).alias("g")).collect()]
+
+
+def test_packing_memory():
+    """What a task holds depends on CHUNK, not on its rows or their sizes."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodegram.operators.postings import _packed_chunks
+
+    rng = np.random.RandomState(5)
+    words = np.array(["".join(map(chr, x)) for x in rng.randint(97, 115, (3000, 6))])
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(texts)], ["rid", "t"])
+    tracemalloc.start()
+    rows = sum(len(b.column("postings").flatten()) for b in _packed_chunks(3, 20)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == sum(len({t[i : i + 3] for i in range(len(t) - 2)}) for t in texts) and peak < 120 << 20
+
+
 def test_many_lists_at_once():
     """The same bytes, lists and errors as one by one."""
     import random
