@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegram.functions.codec import decode_postings, encode_postings
-from lodegram.functions.grams import grams
-from lodegram.operators.postings import pack, unpack
+from lodegram.functions.grams import fold
+from lodegram.operators.postings import gram_counts, pack, unpack
 from lodegram.plans.accelerate import Accelerator
 from lodegram.plans.index import Indexes
 from lodegram.plans.search import Search
@@ -90,7 +90,7 @@ def _sql(text: str):
 def _grams(size: int, case_insensitive: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = _table(spark, sf_dir, "documents")
-        return docs.select("doc_id", F.explode(grams("text", size, case_insensitive)).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+        return gram_counts(docs.select(F.col("doc_id").alias("key"), (fold("text") if case_insensitive else F.col("text")).alias("t")), size).withColumnRenamed("key", "doc_id")
 
     return run
 
