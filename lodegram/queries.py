@@ -121,10 +121,11 @@ def candidates_all_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _copied(spark: SparkSession, sf_dir: str, tag: str) -> tuple[str, str]:
-    """Folders for a copy of documents, which is written, and for its index."""
+    """Folders for a copy of documents, which is written in several files, as many as the scan has tasks, and for its index."""
     n = len(Store(spark).names(_root(spark, tag)))
     path = f"{_root(spark, tag)}/{n}/table"
-    _table(spark, sf_dir, "documents").repartition(4, "doc_id").write.mode("overwrite").parquet(path)
+    docs = _table(spark, sf_dir, "documents")
+    (docs if docs.rdd.getNumPartitions() >= 4 else docs.repartition(4, "doc_id")).write.mode("overwrite").parquet(path)
     return path, f"{_root(spark, tag)}/{n}/index"
 
 

@@ -383,3 +383,22 @@ def test_rewrite(spark, setup):
     assert ids(Search(spark, root).search(path, "tent")) == [6, 8] and spark.read.parquet(path).count() == 13
     assert ids(spark.read.parquet(path).where("s IS NULL")) == [2, 13]
     assert engine.rewrite(path, "s LIKE '%nowhere%'", lambda rows: rows) == 0
+
+
+def test_copied_in_many_files(spark, tmp_path):
+    """A copy of a large table isn't made by four tasks."""
+    from lodegram.queries import _copied
+
+    for parts, want in ((1, 4), (7, 7)):
+        at = f"{tmp_path}/{parts}"
+        spark.range(700).selectExpr("id AS doc_id", "repeat('tent ', 2000) AS text").repartition(parts).write.parquet(f"{at}/documents.parquet")
+        before = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+        try:
+            path, _ = _copied(spark, at, f"copied-{parts}")
+        finally:
+            spark.conf.set("spark.sql.files.openCostInBytes", before[0])
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[1])
+        copy = spark.read.parquet(path)
+        assert copy.count() == 700 and len(copy.inputFiles()) == want
